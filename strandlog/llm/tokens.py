@@ -9,13 +9,24 @@ encoding whole texts and gives the same ids.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-import numpy as np  # noqa: E402
+#: Parts kept by an encoder: about 150 MB; the table starts anew beyond that.
+KEPT_PARTS = 600_000
+#: Words of Latin letters only: one pre-token each, so the model can be asked without the rest of the pipeline.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Marks that end a word: between a letter and a run of marks pre-tokens always part.
+_MARKS = ".,;:!?*#$%&|\""
 
-#: Parts kept by an encoder: about 100 MB; the table starts anew beyond that.
-KEPT_PARTS = 400_000
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
 
 def default_path() -> str:
@@ -30,38 +41,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
-        self.kept, self.after_space, self.at_start = kept, {}, {}
+        self.kept, self.after_space, self.at_start, self.marks = kept, {}, {}, {}
+        self.letters = _byte_letters()
+        self.space = chr(self.letters[32])
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _new(self, parts: list[str], table: dict[str, bytes], before: str) -> None:
+        """Adds parts, each standing after ``before``, to a table."""
+        ask, letters, start = self.tokenizer.model.tokenize, self.letters, self.space if before else ""
+        rest = []
+        for p in parts:
+            word = p.rstrip(_MARKS)
+            if not _LATIN.fullmatch(word):
+                rest.append(p)
+                continue
+            ids = table.get(word)
+            if ids is None:
+                form = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                ids = table[word] = array("I", [t.id for t in ask(start + form)]).tobytes()
+            if len(word) < len(p):
+                tail = p[len(word) :]
+                if tail not in self.marks:
+                    if len(self.marks) > self.kept:
+                        self.marks.clear()
+                    self.marks[tail] = self._encode([tail])[0]
+                table[p] = ids + self.marks[tail]
+        table.update(zip(rest, self._encode([before + p for p in rest])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        if len(self.after_space) > self.kept:
-            self.after_space.clear()
+        for kept in (self.after_space, self.at_start):
+            if len(kept) > self.kept:
+                kept.clear()
         get = self.after_space.get
         split = [(t or "").split(" ") for t in texts]
-        found = [list(map(get, p[1:])) for p in split]
+        found = [list(map(get, p)) for p in split]
         odd, new = set(), set()
         for i, (parts, ids) in enumerate(zip(split, found)):
             if parts[0] == "" or parts[0][-1].isspace():
                 odd.add(i)
             if None in ids:
-                for p in (p for p, x in zip(parts[1:], ids) if x is None):
-                    if p == "" or p[-1].isspace():
-                        odd.add(i)
-                    else:
-                        new.add(p)
+                missed = {p for p, x in zip(parts[1:], ids[1:]) if x is None}
+                if any(p == "" or p[-1].isspace() for p in missed):
+                    odd.add(i)
+                    missed = {p for p in missed if p and not p[-1].isspace()}
+                new |= missed
         if new:
-            listed = sorted(new)
-            self.after_space.update(zip(listed, self._encode([f" {p}" for p in listed])))
-        heads = self._encode([p[0] for p in split])
+            self._new(sorted(new), self.after_space, " ")
+        heads = {p[0] for i, p in enumerate(split) if i not in odd} - self.at_start.keys()
+        if heads:
+            self._new(sorted(heads), self.at_start, "")
         out = []
         for i, (parts, ids) in enumerate(zip(split, found)):
             if i in odd:
                 out.append(b"".join(self._encode(_whole_runs(parts))))
             else:
-                out.append(heads[i] + b"".join(map(self.after_space.__getitem__, parts[1:]) if None in ids else ids))
+                if None in ids:
+                    ids = list(map(get, parts))
+                ids[0] = self.at_start[parts[0]]
+                out.append(b"".join(ids))
         return out
 
 
