@@ -19,7 +19,7 @@ DISTINCTIVE = (
 )
 GENERIC_FACTOR, DISTINCTIVE_FACTOR, THRESHOLD = 0.3, 1.5, 0.3
 
-_LEX = re.compile(r"\\(?P<escaped>.)|(?P<open>\()|(?P<close>\))|(?P<set>\[)|(?P<end>\])|(?P<meta>[.*+?{}^$|])|(?P<plain>.)|(?P<tail>\\)", re.S)
+_LEX = re.compile(r"\\(?P<escaped>.)|(?P<open>\()|(?P<close>\))|(?P<set>\[)|(?P<end>\])|(?P<meta>[.*+?{}^$|])|(?P<tail>\\)|(?P<plain>.)", re.S)
 
 
 def extract_fragments(pattern: str, min_length: int = 1) -> list[str]:

@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,8 +119,6 @@ def hits(message: Column, matcher: Matcher) -> Column:
 
 def _standard_hits(fragments: list[str]):
     """Occurrences by earliest end, which no expression finds; of those that end together the longest begins first."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def run(lines: pd.Series) -> pd.Series:
         by_last: dict[str, list[str]] = {}

@@ -52,7 +52,7 @@ def check_aligned(logs: DataFrame, truth: DataFrame, key: str = "line_id") -> No
 
 def split_dataset(logs: DataFrame, truth: DataFrame, config: SplitConfig = SplitConfig()) -> DataFrame:
     check_aligned(logs, truth)
-    rows = logs.join(truth.select("line_id", "event_id"), "line_id")
+    rows = logs.drop("event_id").join(truth.select("line_id", "event_id"), "line_id")
     return stratified_split(rows, config) if config.stratified else random_split(rows, config)
 
 

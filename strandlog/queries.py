@@ -162,13 +162,13 @@ def logs_grouped(spark, sf_dir):
     return out.withColumn("sample_messages", joined("sample_messages"))
 
 
-@query(f"with {MATCHED} select line_id, coalesce(template_id::varchar, '') as template_id, epoch_ms(timestamp) as ts_ms, message from matched where {_RANGE} order by timestamp desc, line_id limit 10000")
+@query(f"with {MATCHED} select line_id, coalesce(template_id::varchar, '') as template_id, (epoch_us(timestamp) // 1000)::bigint as ts_ms, message from matched where {_RANGE} order by timestamp desc, line_id limit 10000")
 def query_logs(spark, sf_dir):
     out = storage.query_logs(matched_logs(spark, sf_dir), ORG, STREAM, START, END)
     return out.select("line_id", F.coalesce(F.col("template_id").cast("string"), F.lit("")).alias("template_id"), F.unix_millis(F.col("timestamp").cast("timestamp")).alias("ts_ms"), "message")
 
 
-@query(f"with {MATCHED} select line_id, epoch_ms(timestamp) as ts_ms, message from matched where {_RANGE} and template_id = 40 order by timestamp desc, line_id limit 10")
+@query(f"with {MATCHED} select line_id, (epoch_us(timestamp) // 1000)::bigint as ts_ms, message from matched where {_RANGE} and template_id = 40 order by timestamp desc, line_id limit 10")
 def template_examples(spark, sf_dir):
     rows = matched_logs(spark, sf_dir).withColumn("template_id", F.col("template_id").cast("string"))
     return storage.template_examples(rows, ORG, STREAM, "40", 10).select("line_id", F.unix_millis(F.col("timestamp").cast("timestamp")).alias("ts_ms"), "message")
@@ -208,7 +208,7 @@ def template_catalog(spark, sf_dir):
     return logview.catalogue().dataframe(spark)
 
 
-@query(f"with {MATCHED} select line_id, coalesce(template_id::varchar, '') as template_id, (epoch_ms(timestamp) % 1000)::bigint as ms, org_id, message from matched")
+@query(f"with {MATCHED} select line_id, coalesce(template_id::varchar, '') as template_id, (epoch_us(timestamp) // 1000 % 1000)::bigint as ms, org_id, message from matched")
 def log_sink(spark, sf_dir):
     """Rows as the log table stores them."""
     rows = matched_logs(spark, sf_dir).withColumn("log_stream_name", F.col("line_id").cast("string"))
@@ -359,11 +359,11 @@ def top_groups(spark, sf_dir):
     return evaluate.top_groups(matched_logs(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""with {MATCHED}, rows as (select *, epoch_ms(timestamp) >= (select (min(epoch_ms(ts)) + max(epoch_ms(ts))) / 2 from events) as late from matched)
-select coalesce(template_id::varchar, '') as template_id, count(*) as log_count from rows group by 1""")
+@query(f"with {MATCHED} select coalesce(template_id::varchar, '') as template_id, count(*) as log_count from matched group by 1 order by 2 desc, 1 limit 3")
 def topk_groups(spark, sf_dir):
     rows = matched_logs(spark, sf_dir)
-    return rows.groupBy(F.coalesce(F.col("template_id").cast("string"), F.lit("")).alias("template_id")).agg(F.count("*").alias("log_count"))
+    groups = rows.groupBy(F.coalesce(F.col("template_id").cast("string"), F.lit("")).alias("template_id")).agg(F.count("*").alias("log_count"))
+    return groups.orderBy(F.desc("log_count"), "template_id").limit(3)
 
 
 # ---- splits
