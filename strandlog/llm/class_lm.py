@@ -41,7 +41,7 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(buf: np.ndarray, offs: np.ndarray, tails: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of all tokens (words, and an end after each text), their tail groups (-1: end), and the texts' first tokens."""
     starts, ends, first = split_words(buf, offs)
     h = word_hashes(buf, starts, ends, True).view(np.int64)
@@ -49,38 +49,38 @@ def _tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     n = ends - starts
     byte = lambda back: np.where(n >= back, low[ends + 3 - back], 0)
     code = byte(1) | byte(2) << np.uint64(8) | byte(3) << np.uint64(16)
-    tail = (mix(code + np.uint64(1)) % np.uint64(TAILS)).astype(np.int64)
+    tail = (mix(code + np.uint64(1)) % np.uint64(tails)).astype(np.int64)
     where = first[1:]
     return np.insert(h, where, END), np.insert(tail, where, -1), first + np.arange(len(first))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame, tails: int = TAILS) -> DataFrame:
     """(word, tail, n) of all tokens of the documents; tasks count before they pass anything on."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        words, tails, counts, size = [], [], [], 0
+        words, groups, counts, size = [], [], [], 0
 
         def merged():
-            w, t, c = np.concatenate(words), np.concatenate(tails), np.concatenate(counts)
+            w, t, c = np.concatenate(words), np.concatenate(groups), np.concatenate(counts)
             u, at, inv = np.unique(w, return_index=True, return_inverse=True)
             return u, t[at], np.bincount(inv, c, len(u)).astype(np.int64)
 
         for batch in batches:
             for _, _, buf, offs in text_slices(batch, "text"):
-                h, tail, _ = _tokens(buf, offs)
+                h, tail, _ = _tokens(buf, offs, tails)
                 u, at, n = np.unique(h, return_index=True, return_counts=True)
                 words.append(u)
-                tails.append(tail[at])
+                groups.append(tail[at])
                 counts.append(n)
                 size += len(u)
                 if size > COUNTED:
                     w, t, c = merged()
                     if len(w) > COUNTED // 2:
                         yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(t.astype(np.int32)), pa.array(c)], names=["word", "tail", "n"])
-                        words, tails, counts, size = [], [], [], 0
+                        words, groups, counts, size = [], [], [], 0
                     else:
-                        words, tails, counts, size = [w], [t], [c], len(w)
+                        words, groups, counts, size = [w], [t], [c], len(w)
         if words:
             w, t, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(t.astype(np.int32)), pa.array(c)], names=["word", "tail", "n"])
@@ -115,7 +115,7 @@ def type_pairs(docs: DataFrame, types) -> DataFrame:
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, _, buf, offs in text_slices(batch, "text"):
-                h, tail, first = _tokens(buf, offs)
+                h, tail, first = _tokens(buf, offs, t.tails)
                 right, _ = t.of(h, tail)
                 left = np.empty_like(right)
                 left[0], left[1:] = t.n - 1, right[:-1]
@@ -158,7 +158,7 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarra
             gain = (f(rows) - f(grid)).sum(1) + (f(cols) - f(grid)).sum(0)
             d = np.diagonal(grid)
             gain += f(d + r + c + own) - f(d + r) - f(d + c) + f(d)
-            sr, sc = grid.sum(1), grid.sum(0)
+            sr, sc = grid.sum(1) + c, grid.sum(0) + r  # margins of all other words, those beside w included
             gain -= f(sr + r.sum() + own) - f(sr) + f(sc + c.sum() + own) - f(sc)
             gain[k - 1] = -np.inf
             new = int(gain.argmax())
@@ -206,7 +206,7 @@ class Model:
 def train(docs: DataFrame, ws: Workspace, head: int = HEAD, tails: int = TAILS, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     """The model of bounded size, and the table of all word counts (word, tail, n)."""
     spark = docs.sparkSession
-    counts = ws.write(word_counts(docs), "counts")
+    counts = ws.write(word_counts(docs, tails), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.where("tail >= 0").orderBy(F.desc("n"), "word").limit(head).collect()
     types = Types(np.array([r["word"] for r in top], np.int64), tails)
@@ -246,7 +246,7 @@ def score(docs: DataFrame, **sizes) -> DataFrame:
             docs_, words, cls_, n_, known, tokens, base, total = [], [], [], [], [], [], [], []
             text_rows = []
             for i, j, buf, offs in text_slices(batch, "text"):
-                h, tail, first = _tokens(buf, offs)
+                h, tail, first = _tokens(buf, offs, t.tails)
                 types, is_head = t.of(h, tail)
                 c = m.cls[types]
                 before = np.empty_like(c)
