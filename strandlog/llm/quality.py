@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from strandlog.llm.common import Workspace, _SPACE, replace_columns, small_batches, split_words, text_slices, word_hashes
 
 #: Rows of each of the two training sets, at most.
-SAMPLE = 20_000
+SAMPLE = 10_000
 FEATURES = 24
 
 
@@ -106,7 +106,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 600, seed: int = 7) -> dict[str, np.ndarray]:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 400, seed: int = 7) -> dict[str, np.ndarray]:
     """Weights that minimise the non-negative unbiased risk (full-batch Adam; a step that makes the bracket negative goes back up it)."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
