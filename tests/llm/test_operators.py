@@ -350,7 +350,7 @@ def test_quality(spark, odd_docs, clashing, no_docs):
     junk = lambda: " ".join(rng.choice(["BUY!!", "NOW!!", "win$$$", "###"]) for _ in range(60))
     rows = [(i, good() if i % 4 else junk()) for i in range(1600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 1600, 2)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 1600, 3)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     got = quality.score(docs, labels).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     right = [r.predicted == int(r.doc_id % 4 > 0) for r in got if r.held_out]
