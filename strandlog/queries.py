@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.functions import formats, fragments, templates, tokens
-from strandlog.operators import catalog, evaluate, generate, learn, matcher, split, storage
+from strandlog.operators import catalog, evaluate, generate, learn, matcher, runs, split, storage
 from strandlog.plans import logview
 from strandlog.plans.config import FIRST, MatcherConfig
 from strandlog.streaming import ingest
@@ -131,9 +131,18 @@ def frag_join(spark, sf_dir):
     return rows.join(F.broadcast(shares), "fragment").select("line_id", "fragment", "template_id", F.round("weight", 6).alias("weight"))  # the catalogue's fragments
 
 
-@query()
+# The fragments that the catalogue's patterns must give, in order.
+_EXPECTED_FRAGMENTS = {
+    1: ["cpu_usage: ", "% - "], 2: ["memory_usage: ", "GB - "], 3: ["disk_io: ", "MB/s - "],
+    10: ["sshd(pam_unix)[", "]: authentication failure; logname=", " uid=", " rhost="], 11: ["generic log with uid=", " and tty=", " somewhere"],
+    30: ["Transaction ", " completed successfully with amount "], 31: ["Transaction ", " completed with warnings: "], 40: ["Request ", " completed in ", "ms with status "],
+    50: ["pair ", " and ", " and "], 60: ["twin "], 61: ["twin "],
+}
+
+
+@query(f"""select template_id::bigint as template_id, ordinal::int as ordinal, fragment from (values {', '.join(f"({t}, {i}, {q(f)})" for t, fs in _EXPECTED_FRAGMENTS.items() for i, f in enumerate(fs))}) as v(template_id, ordinal, fragment)""")
 def template_fragments(spark, sf_dir):
-    return matcher.template_fragments(logview.catalogue(), spark)
+    return matcher.template_fragments(logview.catalogue(), spark).drop("weight")
 
 
 _GENERIC_SQL = " or ".join(f"t = {q(p)} or (n < 8 and contains(t, {q(p)}))" for p in fragments.GENERIC_PATTERNS)
@@ -203,9 +212,9 @@ def rekey_templates(spark, sf_dir):
     return catalog.rekey(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("dataset"), F.col("p_partkey").alias("pos")))
 
 
-@query()
+@query(f"""select template_id::bigint as template_id, pattern, variables from (values {', '.join(f"({t.template_id}, {q(t.pattern)}, {q(','.join(t.variables))})" for t in (*map(lambda r: matcher.Template(*r), matcher.SEEDS), *logview.TEMPLATES))}) as v(template_id, pattern, variables)""")
 def template_catalog(spark, sf_dir):
-    return logview.catalogue().dataframe(spark)
+    return logview.catalogue().dataframe(spark).select("template_id", "pattern", F.array_join("variables", ",").alias("variables"))
 
 
 @query(f"with {MATCHED} select line_id, coalesce(template_id::varchar, '') as template_id, (epoch_us(timestamp) // 1000 % 1000)::bigint as ms, org_id, message from matched")
@@ -661,6 +670,20 @@ def relative_change(spark, sf_dir):
     return storage.relative_change(matched_logs(spark, sf_dir), ORG, STREAM, (START, "2024-01-14 23:59:59.999999"), ("2024-01-15 00:00:00", END))
 
 
+@query()
+def throughput_run(spark, sf_dir):
+    """Timed runs over two datasets; seconds differ from run to run, so only counts are kept."""
+    sets = {"events": logview.logs(spark, sf_dir), "syslog": logview.syslog_lines(spark, sf_dir)}
+    return runs.throughput_run(spark, sets, logview.catalogue()).select("dataset", "templates", "logs", "matched", "match_rate", "accuracy")
+
+
+@query()
+def match_or_generate(spark, sf_dir):
+    """Templates by rules for unmatched shapes, then all lines again."""
+    out, grown = runs.online_run(logview.logs(spark, sf_dir), logview.catalogue(), [generate.RuleGenerator()])
+    return out.withColumn("templates", F.lit(len(grown.templates)))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
