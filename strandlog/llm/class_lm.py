@@ -33,7 +33,7 @@ HEAD, TAILS, CLASSES, ROUNDS = 2000, 500, 96, 6
 #: Weight of the class bigram against the class unigram.
 MIXTURE = 0.98
 #: Distinct words that a task counts before it passes the counts on.
-COUNTED = 3_000_000
+COUNTED = 1_500_000
 END = -0x5DEECE66D1234567
 
 
@@ -112,16 +112,24 @@ def type_pairs(docs: DataFrame, types) -> DataFrame:
 
     def run(batches):
         t = types.value
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+
+        def merged():
+            code, inv = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            return code, np.bincount(inv, np.concatenate([n for _, n in held]), len(code)).astype(np.int64)
+
         for batch in batches:
             for _, _, buf, offs in text_slices(batch, "text"):
                 h, tail, first = _tokens(buf, offs, t.tails)
                 right, _ = t.of(h, tail)
                 left = np.empty_like(right)
                 left[0], left[1:] = t.n - 1, right[:-1]
-                u, n = np.unique(left * t.n + right, return_counts=True)
-                both, inv = np.unique(np.concatenate([codes, u]), return_inverse=True)
-                codes, counts = both, np.bincount(inv, np.concatenate([counts, n]), len(both)).astype(np.int64)
+                held.append(np.unique(left * t.n + right, return_counts=True))
+                size += len(held[-1][0])
+                if size > COUNTED:
+                    held = [merged()]
+                    size = 0
+        codes, counts = merged()
         yield pa.RecordBatch.from_arrays([pa.array((codes // t.n).astype(np.int32)), pa.array((codes % t.n).astype(np.int32)), pa.array(counts)], names=["left", "right", "n"])
 
     return docs.select("text").mapInArrow(run, "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
