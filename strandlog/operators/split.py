@@ -21,24 +21,44 @@ def shuffled(seed: int, key: str = "line_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
 
 
+#: Hex digits of the hash by which rows are counted before any are ranked: 65,536 ranges.
+_DIGITS = 4
+
+
+def _first_rows(rows: DataFrame, group: list[str], take: Column, seed: int, key: str) -> DataFrame:
+    """rows with is_train: in each group the first ``take`` (an expression of its size n) rows in the shuffled order are.
+
+    Rows are counted by group and by the first digits of their hash; only rows of the one range in which a group's cut
+    falls are ranked. So no task sorts a group, however large one is.
+    """
+    names = [F.col(g) for g in group] or [F.lit(0).alias("__all")]
+    marked = rows.withColumn("__h", shuffled(seed, key)).withColumn("__r", F.substring("__h", 1, _DIGITS))
+    counts = marked.groupBy(*names, "__r").agg(F.count("*").alias("c"))
+    keys = group or ["__all"]
+    in_order = Window.partitionBy(*keys).orderBy("__r")
+    sized = counts.withColumn("n", F.sum("c").over(Window.partitionBy(*keys))).withColumn("before", F.sum("c").over(in_order) - F.col("c")).withColumn("take", take)
+    # the first range that is not wholly taken
+    cut = F.min(F.when(F.col("before") + F.col("c") > F.col("take"), F.struct(F.col("__r").alias("r"), (F.col("take") - F.col("before")).alias("left"))))
+    cuts = sized.groupBy(*keys).agg(cut.alias("__cut"))
+    joined = marked.join(cuts, group, "left") if group else marked.crossJoin(F.broadcast(cuts.drop("__all")))  # one row
+    open_ = F.coalesce(F.col("__r") == F.col("__cut.r"), F.lit(False))
+    clear = joined.where(~open_).withColumn("is_train", F.coalesce(F.col("__r") < F.col("__cut.r"), F.lit(True)))
+    rank = F.row_number().over(Window.partitionBy(*group, "__r").orderBy("__h", key))
+    ranked = joined.where(open_).withColumn("is_train", rank <= F.col("__cut.left"))
+    return clear.unionByName(ranked).drop("__h", "__r", "__cut")
+
+
 def random_split(rows: DataFrame, config: SplitConfig = SplitConfig(), key: str = "line_id") -> DataFrame:
-    """rows with is_train; exactly floor(n * ratio) are. The cut is found on (hash, key) pairs only, by a range sort."""
-    n = rows.count()
-    ranked = rows.select(key, shuffled(config.seed, key).alias("__h"))
-    take = int(n * config.train_ratio)
-    train = ranked.orderBy("__h", key).limit(take).select(key, F.lit(True).alias("is_train"))
-    return rows.join(train, key, "left").withColumn("is_train", F.coalesce("is_train", F.lit(False)))
+    """rows with is_train; exactly floor(n * ratio) are."""
+    return _first_rows(rows, [], F.floor(F.col("n") * F.lit(config.train_ratio)), config.seed, key)
 
 
 def stratified_split(rows: DataFrame, config: SplitConfig = SplitConfig(), key: str = "line_id", event: str = "event_id") -> DataFrame:
     """rows with is_train: the ratio within each event, at least min_test_samples in test, one in train where an event has two or more."""
-    within = Window.partitionBy(event)
-    n = F.count("*").over(within)
-    rank = F.row_number().over(within.orderBy(shuffled(config.seed, key), key))
+    n = F.col("n")
     ratio = F.floor(n * F.lit(config.train_ratio))
     enough = F.when(n - ratio < config.min_test_samples, F.greatest(n - config.min_test_samples, F.lit(0))).otherwise(ratio)
-    take = F.greatest(enough, F.least(F.lit(1), n - 1))
-    return rows.withColumn("is_train", rank <= take)
+    return _first_rows(rows, [event], F.greatest(enough, F.least(F.lit(1), n - 1)), config.seed, key)
 
 
 def check_aligned(logs: DataFrame, truth: DataFrame, key: str = "line_id") -> None:
