@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.llm.common import lower_ascii
+from strandlog.llm.common import Workspace, lower_ascii
 
 #: Characters hashed at level 2.
 PREFIX = 256
@@ -40,13 +40,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     clash = [c for c in docs.columns if c.lower() in ("keep_id", "group_size", "kept")]
     docs = docs.drop(*clash)
     own = docs.columns
-    keys = survivors(docs).cache()
-    try:
-        bounded = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-        keys_list = keys.withColumn("__shared", F.lit(True))
-        marked = _keys(docs).join(F.broadcast(keys_list) if bounded else keys_list, ["__size", "__prefix"], "left")
-    finally:
-        keys.unpersist()
+    keys = Workspace(docs.sparkSession, "exact-dedup").write(survivors(docs), "keys")
+    keys_list = keys.withColumn("__shared", F.lit(True))
+    bounded = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    marked = _keys(docs).join(F.broadcast(keys_list) if bounded else keys_list, ["__size", "__prefix"], "left")
     # only survivors read and hash their full text
     marked = marked.withColumn("__full", F.when(F.col("__shared"), F.sha2(lower_ascii(F.col("text")), 256)))
     groups = marked.where("__full is not null").groupBy("__full").agg(F.max("doc_id").alias("__keep"), F.count("*").alias("__n")).where("__n > 1")
