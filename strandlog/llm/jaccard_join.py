@@ -15,7 +15,8 @@ Each such hash held by several sets is a bucket, and its points make a tree.
 
 Links are needed for components only, so near-copy groups are not expanded into all pairs: every
 point is first verified against its bucket's pivot, the components of those links are found, and
-trees then look for pairs in different components only. Buckets over ``BUCKET`` points are dealt
+trees then look for pairs in different components only: once for each point's nearest such pair,
+which joins most of what belongs together, and, with the components of these links, once for all. Buckets over ``BUCKET`` points are dealt
 into blocks, and each pair of blocks is a task's tree of its own.
 
 Equal sets are one class from the start (copies are not compared). Defined results: null and
@@ -55,9 +56,9 @@ def set_name(shingles: np.ndarray) -> int:
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    """Counts of the set's hashes in D groups, as bytes; D grows until every count fits."""
+    """Counts of the set's hashes in D groups, as bytes; D is twice the set's size or more up to 2048, and grows until every count fits."""
     d = 16
-    while d * 4 <= len(shingles) and d < 512:
+    while d < 2 * len(shingles) and d < 2048:
         d *= 2
     while True:
         counts = np.bincount((shingles & np.uint64(d - 1)).astype(np.int64), minlength=d)
@@ -105,7 +106,7 @@ class CountTree:
         return root
 
     def join(self, num: int, den: int, wanted=None):
-        """Pairs of rows of different groups whose bound reaches the overlap asked for; wanted: flags, of a pair one row must have it."""
+        """Arrays of pairs of rows of different groups whose bound reaches the overlap asked for; wanted: flags, of a pair one row must have it."""
         if self.root < 0:
             return
         stack = [(self.root, self.root)]
@@ -126,8 +127,9 @@ class CountTree:
                     fits &= np.tri(len(ra), k=-1, dtype=bool)
                 if wanted is not None:
                     fits &= wanted[ra][:, None] | wanted[rb][None, :]
-                for x, y in zip(*np.nonzero(fits)):
-                    yield int(ra[x]), int(rb[y])
+                x, y = np.nonzero(fits)
+                if len(x):
+                    yield ra[x], rb[y]
             elif i == j:
                 stack += [(a[5], a[5]), (a[6], a[6]), (a[5], a[6])]
             elif b[5] is None or a[5] is not None and len(a[4]) >= len(b[4]):
@@ -137,7 +139,10 @@ class CountTree:
 
 
 def tree_pairs(sizes: np.ndarray, group: np.ndarray, points: list[np.ndarray], num: int, den: int):
-    """Pairs of a bucket by trees: one for each number of groups d, over its own points and the finer ones folded to d."""
+    """Arrays of pairs of a bucket, and the bound as a share of both sizes, by trees: one for each number of groups d, over its own points and the finer ones folded to d.
+
+    The tree itself holds points of an eighth as many groups; the pairs it leaves are bounded once more by all d.
+    """
     dims = np.array([len(p) for p in points])
     for d in np.unique(dims):
         rows = np.flatnonzero(dims >= d)
@@ -146,9 +151,15 @@ def tree_pairs(sizes: np.ndarray, group: np.ndarray, points: list[np.ndarray], n
         lo, hi = sizes[rows][own].min(), sizes[rows][own].max()
         near = own | ((den * sizes[rows] >= num * lo) & (num * sizes[rows] <= den * hi))
         rows, own = rows[near], own[near]
-        folded = np.stack([fold(points[r][None, :], d)[0] for r in rows])
-        for x, y in CountTree(folded, sizes[rows], group[rows]).join(num, den, own):
-            yield int(rows[x]), int(rows[y])
+        fine = np.stack([fold(points[r][None, :], d)[0] for r in rows])
+        n = sizes[rows]
+        for x, y in CountTree(fold(fine, max(16, d // 8)), n, group[rows]).join(num, den, own):
+            for at in range(0, len(x), 4096):
+                i, j = x[at : at + 4096], y[at : at + 4096]
+                most = np.minimum(fine[i], fine[j]).sum(1)
+                fits = most * (num + den) >= num * (n[i] + n[j])
+                if fits.any():
+                    yield rows[i[fits]], rows[j[fits]], most[fits] / (n[i] + n[j])[fits]
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -284,17 +295,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
     return out
 
 
-def _bucket_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) from trees over the points of each (key, block, block)."""
+def _bucket_pairs(rows: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) from trees over the points of each (key, block, block); nearest: of each point only the pair with the highest bound."""
     def tree(nodes, sizes, roots, blocks, points, i, j):
         if i != j and (len(set(blocks)) < 2):
             return
         nodes, sizes, roots = np.array(nodes), np.array(sizes), np.array(roots)
         blocks = np.array(blocks)
         group = np.unique(roots, return_inverse=True)[1]
-        for x, y in tree_pairs(sizes, group, points, num, den):
-            if i == j or blocks[x] != blocks[y]:
-                yield min(nodes[x], nodes[y]), max(nodes[x], nodes[y])
+        best, partner = np.zeros(len(nodes)), np.full(len(nodes), -1)
+        for x, y, share in tree_pairs(sizes, group, points, num, den):
+            if i != j:
+                keep = blocks[x] != blocks[y]
+                x, y, share = x[keep], y[keep], share[keep]
+            if nearest:
+                for p, q in ((x, y), (y, x)):
+                    order = np.lexsort((-share, p))
+                    p, q, r = p[order], q[order], share[order]
+                    first = np.ones(len(p), bool)
+                    first[1:] = p[1:] != p[:-1]
+                    p, q, r = p[first], q[first], r[first]
+                    up = r > best[p]
+                    best[p[up]], partner[p[up]] = r[up], q[up]
+            else:
+                yield from zip(np.minimum(nodes[x], nodes[y]).tolist(), np.maximum(nodes[x], nodes[y]).tolist())
+        x = np.flatnonzero(partner >= 0)
+        y = partner[x]
+        yield from zip(np.minimum(nodes[x], nodes[y]).tolist(), np.maximum(nodes[x], nodes[y]).tolist())
 
     def run(batches):
         at, held, found = None, None, set()
@@ -339,21 +366,26 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
     star = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = ws.write(_bounded(star.join(pt("b"), "b").join(pt("a"), "a").where(fits), num, den), "star")
+    tried = star
     links = _verified(star, docs, classes, k, num, den, ws, "star")
     roots = ws.write(components(links, ws, "first"), "roots")
-    # buckets of more than two sets whose sets are not all in one component yet
-    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = ws.write(placed, "placed")
+    for step in ("nearest", "all"):
+        # buckets of more than two sets whose sets are not all in one component yet
+        placed = ws.write(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{step}-placed")
+        open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1 and size > 2").select("key", F.ceil(F.col("size") / BUCKET).cast("int").alias("nb"))
+        dealt = placed.join(open_, "key").join(points.select("node", "point"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "point")
+        dealt = dealt.repartition(parts_of(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = ws.write(_bucket_pairs(dealt, num, den, step == "nearest").join(tried, ["a", "b"], "left_anti"), step)
+        ws.drop(f"{step}-placed")
+        tried = tried.union(more)
+        links = links.union(_verified(more, docs, classes, k, num, den, ws, step))
+        if step == "nearest":
+            roots = ws.write(components(links, ws, "second"), "roots-2")
     ws.drop("shared")
-    open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1 and size > 2").select("key", F.ceil(F.col("size") / BUCKET).cast("int").alias("nb"))
-    dealt = placed.join(open_, "key").join(points.select("node", "point"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "point")
-    dealt = dealt.repartition(parts_of(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = ws.write(_bucket_pairs(dealt, num, den).join(star, ["a", "b"], "left_anti"), "more")
-    links2 = _verified(more, docs, classes, k, num, den, ws, "more")
     # vertices are doc ids from here on: copies with their class, and each link between two classes
     ids = classes.select("node", "doc_id")
-    all_links = links.union(links2).join(ids.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), "a").join(ids.select(F.col("node").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    all_links = links.join(ids.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), "a").join(ids.select(F.col("node").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
     named = sets.join(ids.withColumnRenamed("doc_id", "class_id"), "node", "left")
     copies = named.where("class_id is not null and doc_id is not null and doc_id <> class_id").select(F.col("class_id").alias("b"), F.col("doc_id").alias("a"))
     repeated = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").limit(1).count()

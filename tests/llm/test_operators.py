@@ -83,7 +83,7 @@ def test_count_tree_bound():
     sets += [np.unique(np.concatenate([s[:-3], rng.integers(0, 2000, 2).astype(np.uint64)])) for s in sets if len(s) > 5]
     sets = [np.unique(s * np.uint64(0x9E3779B97F4A7C15)) for s in sets]
     points = [jaccard_join.point(s) for s in sets]
-    found = {tuple(sorted(p)) for p in jaccard_join.tree_pairs(np.array([len(s) for s in sets]), np.arange(len(sets)), points, 85, 100)}
+    found = {tuple(sorted(p)) for x, y, _ in jaccard_join.tree_pairs(np.array([len(s) for s in sets]), np.arange(len(sets)), points, 85, 100) for p in zip(x.tolist(), y.tolist())}
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(np.intersect1d(a, sets[j]))
