@@ -174,12 +174,15 @@ def copied_windows(batch: DataFrame, history: DataFrame | None, index: Fingerpri
     windows = ws.write(windows, "windows")
     ws.drop("by_document")
     first_owner = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    # a table of its own: the join below then is between two exchanges, and a passage of many documents can be split
+    first_owner = ws.write(first_owner, "owners")
     copies = windows.join(first_owner, ["h1", "h2"]).where("doc_id > owner").select("doc_id", "text_key", "position")
     if earlier:  # historical windows were judged with their own batch
         least = batch.agg(F.min("doc_id")).first()[0]
         copies = copies.where(F.col("doc_id") >= F.lit(least))
     copies = ws.write(copies.groupBy("doc_id", "text_key").agg(F.collect_list("position").alias("positions")), "copies")
     ws.drop("windows")
+    ws.drop("owners")
     return copies
 
 
