@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from strandlog.llm.common import Workspace, _LOWER, mix, small_batches, split_words, text_slices, word_hashes
 
-HEAD, TAILS, CLASSES, ROUNDS = 2000, 500, 96, 6
+HEAD, TAILS, CLASSES, ROUNDS = 1200, 300, 96, 6
 #: Weight of the class bigram against the class unigram.
 MIXTURE = 0.98
 #: Distinct words that a task counts before it passes the counts on.
@@ -219,9 +219,10 @@ def train(docs: DataFrame, ws: Workspace, head: int = HEAD, tails: int = TAILS,
     top = counts.where("tail >= 0").orderBy(F.desc("n"), "word").limit(head).collect()
     types = Types(np.array([r["word"] for r in top], np.int64), tails)
     shared = spark.sparkContext.broadcast(types)
-    found = ws.write(type_pairs(docs, shared), "pairs").toPandas()  # at most (head + tails + 1)^2 rows
+    found = ws.write(type_pairs(docs, shared), "pairs").toArrow()  # at most (head + tails + 1)^2 rows of 16 bytes
     pairs = np.zeros((types.n, types.n))
-    pairs[found["left"], found["right"]] = found["n"]
+    pairs[found["left"].to_numpy(), found["right"].to_numpy()] = found["n"].to_numpy()
+    del found
     cls = exchange(pairs, classes)
     of_tail = F.array(*[F.lit(int(c)) for c in cls[len(top) : -1]])
     tail_class = counts.where("tail >= 0").join(F.broadcast(spark.createDataFrame([(r["word"],) for r in top], "word long")), "word", "left_anti")
