@@ -4,15 +4,20 @@ P(text) is the product over its tokens of P(class | previous class) * P(word | c
 statistics come from all training documents: word counts, counts of adjacent word types, and from
 them class transitions and emissions.
 
-Words are named by 64-bit hashes. A word's *type* is the word itself for the ``HEAD`` most
-frequent words and else one of ``TAILS`` groups by its last bytes, so every word, seen or not,
-has a type and the table of adjacent types has a bounded size. Exchange clustering moves types
-between ``CLASSES`` classes as long as that raises the likelihood of the class bigram model; it
-runs on the driver on that bounded table only.
+Words are named by 64-bit hashes. Every word of the training documents gets a class by the exchange
+criterion on its own neighbour counts, in two steps. A word's *type* is the word itself for the
+``HEAD`` most frequent words and else one of ``TAILS`` groups by its last bytes. Exchange clustering
+of the types between ``CLASSES`` classes, on the driver and on the bounded table of adjacent types,
+gives the head words their classes and all others a class to begin with. Then each word beyond the
+head, however many there are, moves to the class that raises the likelihood most, by its counts of
+neighbours of each class: one round of exchange over the whole vocabulary, in parallel, so the moves
+of other such words are not seen. These words stay a distributed table of (word, n, class). The
+class transitions are counted with the classes after it. Only words never seen in training have the
+class of their group.
 
 Emissions use absolute discounting within the class, the discounted mass shared by as many unseen
-words as seen ones; transitions are interpolated with the class frequencies. Tail words are looked
-up by a join with the table of all word counts, which is never broadcast.
+words as seen ones; transitions are interpolated with the class frequencies. Words beyond the head
+are looked up by a join with their table, which is never broadcast.
 
 Defined results: a null or empty text is one end token; an empty table gives no rows; without
 training rows every word is unknown; repeated rows are scored (and counted) each; a null doc_id
@@ -30,6 +35,10 @@ from pyspark.sql import functions as F
 from strandlog.llm.common import Workspace, _LOWER, mix, small_batches, split_words, text_slices, word_hashes
 
 HEAD, TAILS, CLASSES, ROUNDS = 1200, 300, 96, 6
+#: Rows of words that numpy takes at once.
+WORD_ROWS = 50_000
+#: Counts up to this have their likelihoods worked out once for all words.
+TABLED = 16
 #: Weight of the class bigram against the class unigram.
 MIXTURE = 0.98
 #: Distinct words that a task counts before it passes the counts on.
@@ -187,6 +196,172 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarra
     return cls
 
 
+def neighbours(docs: DataFrame, shared) -> DataFrame:
+    """(word, tail, entries) of words beyond the head: pairs (code, n) as 64-bit numbers. Codes: the class before, k + the class after, 2k beside itself with the word before or 2k + 1 after. Tasks count before they pass anything on; rows of a word are several."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        t, cls = shared.value
+        k = int(cls.max()) + 1
+        width = 2 * k + 2
+        held, size = [], 0
+
+        def merged():
+            word, tail, code, n = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((code, word))
+            word, tail, code, n = word[order], tail[order], code[order], n[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (code[1:] != code[:-1])
+            at = np.flatnonzero(new)
+            return word[at], tail[at], code[at], np.add.reduceat(n, at)
+
+        def rows(word, tail, code, n):
+            at = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            offsets = (np.append(at, len(word)) * 16).astype(np.int32)
+            data = np.stack([code, n], 1).astype(np.int64)
+            entries = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            return pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(tail[at].astype(np.int32)), entries], names=["word", "tail", "entries"])
+
+        for batch in batches:
+            for _, _, buf, offs in text_slices(batch, "text"):
+                h, tail, _ = _tokens(buf, offs, t.tails)
+                types, is_head = t.of(h, tail)
+                c = cls[types]
+                before, after = np.empty_like(c), np.empty_like(c)
+                before[0], before[1:] = cls[-1], c[:-1]
+                after[-1], after[:-1] = cls[-1], c[1:]
+                same = np.append(False, h[1:] == h[:-1])
+                far = np.flatnonzero(~is_head & (tail >= 0))
+                if not len(far):
+                    continue
+                left = np.where(same[far], 2 * k, before[far])
+                right = np.where(np.append(same[1:], False)[far], 2 * k + 1, k + after[far])
+                u, inv = np.unique(h[far], return_inverse=True)
+                key, n = np.unique(np.concatenate([inv * width + left, inv * width + right]), return_counts=True)
+                group = np.zeros(len(u), np.int64)
+                group[inv] = tail[far]
+                held.append((u[key // width], group[key // width], key % width, n))
+                size += len(key)
+                if size > COUNTED:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > COUNTED // 2:
+                        yield rows(*held[0])
+                        held, size = [], 0
+        if held:
+            yield rows(*merged())
+
+    return docs.select("text").mapInArrow(run, "word long, tail int, entries binary")
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+class Assigner:
+    """The best class of words, given the class bigram counts of all tokens, these words' own ones included."""
+
+    def __init__(self, grid: np.ndarray):
+        self.grid, self.k = grid, len(grid)
+        # [class of the neighbour before or (from k) after, own class]
+        self.cells = np.concatenate([grid, grid.T])
+        self.known = _xlogx(self.cells)
+        self.tables = np.stack([_xlogx(self.cells + x) - self.known for x in range(TABLED + 1)])
+        self.after, self.before = grid.sum(1), grid.sum(0)
+
+    def best(self, word: np.ndarray, code: np.ndarray, n: np.ndarray, old: np.ndarray) -> np.ndarray:
+        """The class of each of len(old) words from entries (word, code, n) sorted by word; of equal gains the old class, then the smallest."""
+        k, m = self.k, len(old)
+        at_old = np.arange(m), old
+        own = np.bincount(word[code == 2 * k], n[code == 2 * k], m)
+        plain = code < 2 * k
+        word, code, n = word[plain], code[plain], n[plain].astype(float)
+        side = np.zeros((m, 2 * k))
+        np.add.at(side, (word, code), n)
+        c, r = side[:, :k], side[:, k:]  # counts of classes before and after
+        gain = np.zeros((m, k))
+        keys = np.flatnonzero(side)
+        word, code = keys // (2 * k), keys % (2 * k)
+        n = side[word, code]
+        for i in range(0, len(keys), 16384):
+            w, b, x = word[i : i + 16384], code[i : i + 16384], n[i : i + 16384]
+            few = x <= TABLED
+            part = self.tables[np.where(few, x, 0).astype(np.int64), b]
+            big = np.flatnonzero(~few)
+            part[big] = _xlogx(self.cells[b[big]] + x[big, None]) - self.known[b[big]]
+            # out of its old class the word is taken first
+            o = old[w]
+            part[np.arange(len(w)), o] = 0.0
+            starts = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            gain[w[starts]] += np.add.reduceat(part, starts, axis=0)
+        # cells of the old class: without the word they are smaller, in every class that it may join
+        row, col = self.grid[old] - r, self.grid[:, old].T - c
+        row[at_old] -= c[at_old] + own
+        col[at_old] = row[at_old]
+        was_r, was_c = self.grid[:, old].T, self.grid[old]
+        r_old, c_old = r[at_old][:, None], c[at_old][:, None]
+        other_r = _xlogx(col + r_old) - _xlogx(col) - _xlogx(was_r + r_old) + _xlogx(was_r)
+        other_c = _xlogx(row + c_old) - _xlogx(row) - _xlogx(was_c + c_old) + _xlogx(was_c)
+        other_r[at_old] = other_c[at_old] = 0.0
+        gain += other_r + other_c
+        stay = (_xlogx(row + r) - _xlogx(row)).sum(1) + (_xlogx(col + c) - _xlogx(col)).sum(1)
+        gain[at_old] = stay
+        d = np.tile(np.diagonal(self.grid), (m, 1))
+        d[at_old] = row[at_old]
+        o = own[:, None]
+        gain += _xlogx(d + r + c + o) - _xlogx(d + r) - _xlogx(d + c) + _xlogx(d)
+        total_r, total_c = r.sum(1) + own, c.sum(1) + own
+        # margins: the word leaves those of its old class
+        sr, sc = np.tile(self.after, (m, 1)), np.tile(self.before, (m, 1))
+        sr[at_old] -= total_r
+        sc[at_old] -= total_c
+        gain -= _xlogx(sr + total_r[:, None]) - _xlogx(sr) + _xlogx(sc + total_c[:, None]) - _xlogx(sc)
+        gain[:, k - 1] = -np.inf
+        new = gain.argmax(1)
+        return np.where(gain[np.arange(m), new] > gain[at_old] + 1e-9, new, old)
+
+
+def assign(found: DataFrame, shared, grid: np.ndarray) -> DataFrame:
+    """(word, n, class) of every word of neighbours()."""
+    def run(batches):
+        t, cls = shared.value
+        k, a = int(cls.max()) + 1, Assigner(grid)
+        rest: list[tuple] = []
+
+        def rows(word, tail, size, data):
+            code, n = data[:, 0], data[:, 1]
+            new = np.append(True, word[1:] != word[:-1])
+            at = np.flatnonzero(new)
+            of = np.repeat(np.cumsum(new) - 1, size)
+            to = []
+            group = cls[len(t.words) + tail[at]]
+            for i in range(0, len(at), 4096):
+                x, y = np.searchsorted(of, [i, i + 4096])
+                to.append(a.best(of[x:y] - i, code[x:y], n[x:y], group[i : i + 4096]))
+            left = (code < k) | (code == 2 * k)  # every token has one neighbour before it
+            total = np.bincount(of[left], n[left], len(at)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(total), pa.array(np.concatenate(to).astype(np.int32))], names=["word", "n", "class"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word, tail = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            blobs = batch.column(2).to_pylist()
+            size = np.array([len(x) // 16 for x in blobs])
+            rest.append((word, tail, size, np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)))
+            if rest[0][0][0] == word[-1]:
+                continue
+            word, tail, size, data = (np.concatenate(x) for x in zip(*rest))
+            cut = np.searchsorted(word, word[-1])  # the last word may go on in the next batch
+            entries = size[:cut].sum()
+            yield rows(word[:cut], tail[:cut], size[:cut], data[:entries])
+            rest = [(word[cut:], tail[cut:], size[cut:], data[entries:])]
+        if rest:
+            yield rows(*(np.concatenate(x) for x in zip(*rest)))
+
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, n long, class int")
+
+
 class Model:
     """What scoring broadcasts; its size depends on HEAD, TAILS and CLASSES only."""
 
@@ -194,16 +369,21 @@ class Model:
         self.types, self.cls, self.total, self.distinct, self.head_counts = types, cls, total, distinct, head_counts
         k = int(cls.max()) + 1
         one = np.eye(k)[cls]
-        grid = one.T @ pairs @ one
+        self.grid = one.T @ pairs @ one
+        self.use(self.grid)
+        self.tokens, self.seen, self.discount = np.zeros(k), np.zeros(k), np.full(k, 0.5)
+        for c, (n, v, n1, n2) in by_class.items():
+            self.tokens[c], self.seen[c] = n, v
+            self.discount[c] = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.05
+
+    def use(self, grid: np.ndarray) -> None:
+        """Takes the transitions from these class bigram counts."""
+        k = len(grid)
         unigram = (grid.sum(0) + 0.5) / (grid.sum() + 0.5 * k)
         rows = grid.sum(1, keepdims=True)
         bigram = np.divide(grid, rows, out=np.zeros_like(grid), where=rows > 0)
         lam = np.where(rows > 0, MIXTURE, 0.0)
         self.transition = np.log10(lam * bigram + (1 - lam) * unigram[None, :])
-        self.tokens, self.seen, self.discount = np.zeros(k), np.zeros(k), np.full(k, 0.5)
-        for c, (n, v, n1, n2) in by_class.items():
-            self.tokens[c], self.seen[c] = n, v
-            self.discount[c] = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.05
 
     def emission(self, c: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log10 P(word | class) of words with count n; of unseen ones as many are assumed as of seen ones."""
@@ -211,8 +391,24 @@ class Model:
         return np.log10(top / np.maximum(1, self.tokens[c] + (self.seen[c] == 0)))
 
 
+def beyond_head(docs: DataFrame, ws: Workspace, types: Types, cls: np.ndarray, grid: np.ndarray) -> DataFrame:
+    """(word, n, class) of all words beyond the head."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((types, cls))
+    found = ws.write(neighbours(docs, shared), "neighbours")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.conf.get(key)
+    spark.conf.set(key, str(WORD_ROWS))  # rows of words are short
+    try:
+        far = ws.write(assign(found, shared, grid), "far")
+    finally:
+        spark.conf.set(key, rows)
+    ws.drop("neighbours")
+    return far
+
+
 def train(docs: DataFrame, ws: Workspace, head: int = HEAD, tails: int = TAILS, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model of bounded size, and the table of all word counts (word, tail, n)."""
+    """The model of bounded size, and the table of the other words (word, n, class); transitions are those of the types until use()."""
     spark = docs.sparkSession
     counts = ws.write(word_counts(docs, tails), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -224,90 +420,140 @@ def train(docs: DataFrame, ws: Workspace, head: int = HEAD, tails: int = TAILS,
     pairs[found["left"].to_numpy(), found["right"].to_numpy()] = found["n"].to_numpy()
     del found
     cls = exchange(pairs, classes)
-    of_tail = F.array(*[F.lit(int(c)) for c in cls[len(top) : -1]])
-    tail_class = counts.where("tail >= 0").join(F.broadcast(spark.createDataFrame([(r["word"],) for r in top], "word long")), "word", "left_anti")
+    k = int(cls.max()) + 1
+    one = np.eye(k)[cls]
+    far = beyond_head(docs, ws, types, cls, one.T @ pairs @ one)
     sums = [F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")]
-    by_class = {r["c"]: [r["n"], r["v"], r["n1"], r["n2"]] for r in tail_class.groupBy(F.get(of_tail, F.col("tail")).alias("c")).agg(*sums).collect()}
+    by_class = {r["class"]: [r["n"], r["v"], r["n1"], r["n2"]] for r in far.groupBy("class").agg(*sums).collect()}
     for r, c in zip(top, cls):
         x = by_class.setdefault(int(c), [0, 0, 0, 0])
         for i, more in enumerate((r["n"], 1, r["n"] == 1, r["n"] == 2)):
             x[i] += int(more)
     ends = counts.where("tail < 0").agg(F.sum("n")).first()[0] or 0
     by_class[int(cls[-1])] = [ends, 1 if ends else 0, 0, 0]
-    return Model(types, cls, pairs, np.array([r["n"] for r in top], np.int64), by_class, total, distinct), counts.where("tail >= 0").select("word", "n")
+    return Model(types, cls, pairs, np.array([r["n"] for r in top], np.int64), by_class, total, distinct), far
 
 
-def score(docs: DataFrame, **sizes) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row, trained on the rows not held out."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "class-lm")
-    model, counts = train(docs.where(~held_out(F.col("doc_id"))), ws, **sizes)
-    shared = spark.sparkContext.broadcast(model)
-    small_batches(spark)
-    schema = "doc_id long, part int, row long, word long, class int, n long, tokens long, known long, base double, score double"
+def resolve(docs: DataFrame, shared, far: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, emitted and the classes of all tokens (16-bit numbers) of every row."""
+    small_batches(docs.sparkSession)
+    schema = "doc_id long, part int, row long, word long, places binary, classes binary, known long, base double, emitted double"
 
     def run(batches):
         m, part, row0 = shared.value, TaskContext.get().partitionId(), 0
         t = m.types
         ends = m.tokens[m.cls[-1]]
-        denominator = np.log10(m.total + m.distinct + 1)
         for batch in batches:
-            docs_, words, cls_, n_, known, tokens, base, total = [], [], [], [], [], [], [], []
-            text_rows = []
+            ids = batch.column(0)
             for i, j, buf, offs in text_slices(batch, "text"):
                 h, tail, first = _tokens(buf, offs, t.tails)
                 types, is_head = t.of(h, tail)
                 c = m.cls[types]
-                before = np.empty_like(c)
-                before[0], before[1:] = m.cls[-1], c[:-1]
-                length = np.diff(first)
-                of = np.repeat(np.arange(j - i), length)
+                of = np.repeat(np.arange(j - i), np.diff(first))
                 is_end = tail < 0
                 count = np.zeros(len(h))
                 count[is_head] = m.head_counts[types[is_head]]
                 count[is_end] = ends
                 here = is_head | is_end
-                logs = m.transition[before, c]
-                logs[here] += m.emission(c[here], count[here])
-                text_rows.append(np.arange(i, j))
-                tokens.append(length)
-                known.append(np.bincount(of, here & (count > 0), j - i))
-                base.append(np.bincount(of, np.where(here, np.log10(count + 1), 0) - denominator, j - i))
-                total.append(np.bincount(of, logs, j - i))
-                far = np.flatnonzero(~here)
-                order = np.lexsort((h[far], of[far]))
-                w, d, cc = h[far][order], of[far][order], c[far][order]
+                emitted = np.zeros(len(h))
+                emitted[here] = m.emission(c[here], count[here])
+                far_at = np.flatnonzero(~here)
+                order = np.lexsort((far_at, h[far_at], of[far_at]))
+                w, d, places = h[far_at][order], of[far_at][order], (far_at - first[of[far_at]])[order]
                 new = np.ones(len(w), bool)
                 new[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
                 at = np.flatnonzero(new)
-                docs_.append(d[at] + i)
-                words.append(w[at])
-                cls_.append(cc[at])
-                n_.append(np.diff(np.append(at, len(w))))
-            if not text_rows:
-                continue
-            cat = np.concatenate
-            docs_, words, text_rows = cat(docs_), cat(words), cat(text_rows)
-            k, q = len(text_rows), len(docs_)
-            row_no = cat([text_rows, docs_]) + row0
+                k, q = j - i, len(at)
+                blob = lambda data, ends, size: pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(data)])
+                own = np.arange(i, j)
+                # a text's own row has a name of its own in place of a word, so that such rows spread over all tasks
+                name = mix((own + row0).astype(np.uint64) + np.uint64(part) * np.uint64(2**40)).view(np.int64)
+                num = lambda a, kind: pa.array(np.concatenate([a, np.zeros(q)]).astype(kind))
+                yield pa.RecordBatch.from_arrays([
+                    ids.take(pa.array(np.concatenate([own, d[at] + i]))), pa.array(np.full(k + q, part, np.int32)), pa.array(np.concatenate([own, d[at] + i]) + row0), pa.array(np.concatenate([name, w[at]])),
+                    pa.concat_arrays([pa.nulls(k, pa.binary()), blob(places.astype(np.int32), np.append(at, len(w)), 4)]), pa.concat_arrays([blob(c.astype(np.int16), first, 2), pa.nulls(q, pa.binary())]),
+                    num(np.bincount(of, here & (count > 0), k), np.int64), num(np.bincount(of, np.where(here, np.log10(count + 1), 0), k), float), num(np.bincount(of, emitted, k), float)],
+                    names=["doc_id", "part", "row", "word", "places", "classes", "known", "base", "emitted"])
             row0 += batch.num_rows
-            num = lambda a, z, kind: pa.array(cat([cat(a).astype(kind), np.zeros(z, kind)]))
-            # a text's own row has a name of its own in place of a word, so that such rows spread over all tasks
-            own = mix((text_rows + row0).astype(np.uint64) + np.uint64(part) * np.uint64(2**40)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(cat([text_rows, docs_]))), pa.array(np.full(k + q, part, np.int32)), pa.array(row_no), pa.array(cat([own, words])),
-                pa.array(cat([np.full(k, -1), *cls_]).astype(np.int32)), pa.array(cat([np.zeros(k, np.int64), *n_])), num(tokens, q, np.int64), num(known, q, np.int64), num(base, q, float), num(total, q, float)],
-                names=["doc_id", "part", "row", "word", "class", "n", "tokens", "known", "base", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-    joined = rows.join(counts.withColumnRenamed("n", "c").withColumn("found", F.lit(1)), "word", "left")
-    real = F.col("class") >= 0
-    c = F.when(real, F.coalesce("c", F.lit(0))).otherwise(F.lit(0))
-    table = lambda x: F.array(*[F.lit(float(v)) for v in x])
-    slot = F.greatest("class", F.lit(0))
-    d, tok = F.get(table(model.discount), slot), F.get(table(np.maximum(1, model.tokens + (model.seen == 0))), slot)
-    emitted = F.when(real, F.col("n") * F.log10(F.when(c > 0, c - d).otherwise(d) / tok)).otherwise(F.lit(0.0))
-    sums = joined.groupBy("doc_id", "part", "row").agg(
-        F.sum("tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(real, F.col("n") * F.log10(c + 1)).otherwise(0.0)).alias("base_score"), F.sum(F.col("score") + emitted).alias("score"))
-    return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), "base_score", "score")
+    joined = rows.join(far.select("word", F.col("n").alias("c"), F.col("class").alias("to")), "word", "left")
+    word = F.struct("places", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("to", F.lit(-1)).alias("to"))
+    docs_ = joined.groupBy("doc_id", "part", "row").agg(
+        F.max("classes").alias("classes"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("emitted").alias("emitted"), F.collect_list(F.when(F.col("places").isNotNull(), word)).alias("words"))
+    docs_ = docs_.select("doc_id", "classes", "known", "base", "emitted", F.col("words.places").alias("places"), F.col("words.c").alias("c"), F.col("words.to").alias("to"))
+
+    def put(batches):
+        m = shared.value
+        denominator = np.log10(m.total + m.distinct + 1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seqs = batch.column(1).to_pylist()
+            length = np.array([len(x) // 2 for x in seqs])
+            first = np.append(0, np.cumsum(length))
+            c = np.frombuffer(b"".join(seqs), np.int16).copy()
+            lists = batch.column(5)
+            per_doc = np.diff(lists.offsets.to_numpy())
+            blobs = lists.flatten().to_pylist()
+            doc = np.repeat(np.arange(len(seqs)), per_doc)
+            size = np.array([len(x) // 4 for x in blobs], np.int64)
+            at = np.frombuffer(b"".join(blobs), np.int32) + np.repeat(first[doc], size)
+            n, to = batch.column(6).flatten().to_numpy().astype(float), batch.column(7).flatten().to_numpy()
+            all_to = np.repeat(to, size)
+            c[at[all_to >= 0]] = all_to[all_to >= 0]
+            own = c[at[np.cumsum(size) - size]]  # every word has a place
+            more = np.bincount(doc, size * m.emission(own, n), len(seqs))
+            num = lambda i: batch.column(i).to_numpy()
+            known = num(2) + np.bincount(doc, size * (n > 0), len(seqs)).astype(np.int64)
+            base = num(3) + np.bincount(doc, size * np.log10(n + 1), len(seqs)) - length * denominator
+            out = pa.Array.from_buffers(pa.binary(), len(seqs), [None, pa.py_buffer((first * 2).astype(np.int32)), pa.py_buffer(c)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(length), pa.array(known), pa.array(base), pa.array(num(4) + more), out], names=["doc_id", "n_tokens", "n_known", "base_score", "emitted", "classes"])
+
+    return docs_.mapInArrow(put, "doc_id long, n_tokens long, n_known long, base_score double, emitted double, classes binary")
+
+
+def _followed(batch: pa.RecordBatch, column: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, the class before and the class of every token; a text begins after an end."""
+    seqs = batch.column(column).to_pylist()
+    length = np.array([len(x) // 2 for x in seqs], np.int64)
+    c = np.frombuffer(b"".join(seqs), np.int16).astype(np.int64)
+    before = np.empty_like(c)
+    before[:1], before[1:] = end, c[:-1]
+    return np.repeat(np.arange(len(seqs)), length), before, c
+
+
+def class_pairs(resolved: DataFrame, k: int) -> np.ndarray:
+    """Counts of adjacent classes in all rows."""
+    def run(batches):
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            _, before, c = _followed(batch, 0, k - 1)
+            total += np.bincount(before * k + c, minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    grid = np.zeros(k * k)
+    for r in resolved.select("classes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most k * k
+        grid[r["pair"]] = r["n"]
+    return grid.reshape(k, k)
+
+
+def score(docs: DataFrame, **sizes) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row, trained on the rows not held out."""
+    spark = docs.sparkSession
+    ws = Workspace(spark, "class-lm")
+    model, far = train(docs.where(~held_out(F.col("doc_id"))), ws, **sizes)
+    resolved = ws.write(resolve(docs, spark.sparkContext.broadcast(model), far), "resolved")
+    k = len(model.grid)
+    model.use(class_pairs(resolved.where(~held_out(F.col("doc_id"))), k))
+    transition = model.transition
+
+    def run(batches):
+        for batch in batches:
+            of, before, c = _followed(batch, 5, k - 1)
+            total = batch.column(4).to_numpy() + np.bincount(of, transition[before, c], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    out = resolved.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -156,6 +156,42 @@ def test_class_lm_edges(spark, no_docs):
     assert [(r.n_known, r.train_tokens) for r in only] == [(0, 0)] * 2 and all(math.isfinite(r.score) for r in only)
 
 
+def test_words_beyond_the_head_move_as_exchange_moves_them():
+    """Brute force: the likelihood of the whole class bigram table with the word in each class."""
+    rng = np.random.default_rng(4)
+    k, n = 5, 40
+    pairs = rng.poisson(0.6, (n, n)).astype(float)
+    pairs[7, 3] = 30
+    cls = np.append(np.arange(n - 1) % (k - 1), k - 1)
+    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+    def likelihood(c):
+        one = np.eye(k)[c]
+        g = one.T @ pairs @ one
+        return f(g).sum() - f(g.sum(0)).sum() - f(g.sum(1)).sum()
+
+    one = np.eye(k)[cls]
+    a = class_lm.Assigner(one.T @ pairs @ one)
+    for w in range(n - 1):
+        entries = [(cls[v], pairs[v, w]) for v in range(n) if v != w] + [(k + cls[v], pairs[w, v]) for v in range(n) if v != w] + [(2 * k, pairs[w, w]), (2 * k + 1, pairs[w, w])]
+        code, count = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
+        got = int(a.best(np.zeros(len(code), int), code, count, cls[[w]])[0])
+        tried = [likelihood(np.where(np.arange(n) == w, c, cls)) for c in range(k - 1)]
+        assert np.isclose(tried[got], max(tried))
+
+
+def test_every_word_has_a_class_by_its_neighbours(spark):
+    """Words beyond the head that share their last bytes, but not their neighbours, part; each keeps its count."""
+    rows = [(i, f"the x{i % 40}ing of a y{i % 40}ing in" * 3) for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, far = class_lm.train(docs, Workspace(spark, "t"), head=4, tails=1, classes=4)
+    found = far.collect()
+    counts = Counter(w for _, t in rows for w in t.split())
+    head = {w for w, _ in counts.most_common(4)}
+    assert sorted(r["n"] for r in found) == sorted(n for w, n in counts.items() if w not in head)
+    assert len({r["class"] for r in found}) > 1
+
+
 # ---- 3 and 8
 
 
