@@ -5,9 +5,9 @@ template are anchors; the longest increasing subsequence of their places is kept
 between anchors are aligned in the same way, after common words at their borders. A template's
 coverage is the share of its words that are aligned.
 
-A license stands together, so a template of n words is aligned with windows of 2n words that
-start at every multiple of n where a template's word stands; only windows that hold enough of the template's words to reach the
-threshold at all are aligned, which loses none. The whole text is searched.
+A license stands together, so a template of n words is aligned with windows of 2n words, one from
+every word of the text. Windows that hold too few of the template's words to reach the threshold, or
+to beat the best window so far, are not aligned, which loses none. The whole text is searched.
 
 Words are lower-cased (A-Z) with marks at their borders taken off. Defined results: null and
 empty texts and templates match nothing; repeated rows are reported each; a null doc_id is kept;
@@ -18,6 +18,7 @@ every task, so their number is the caller's bound.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,16 +106,20 @@ class Scanner:
             return
         common = [i for i, w in enumerate(lowered) if w in self.vocabulary]
         for name, t in self.templates.items():
-            n, own, best = len(t), set(t), (0, 0)
+            n, own, need, best = len(t), Counter(t), self.need[name], (0, 0)
             places = [i for i in common if lowered[i] in own]
-            if len({lowered[i] for i in places}) < self.need[name] - (n - len(own)):
+            if len({lowered[i] for i in places}) < need - (n - len(own)):
                 continue
-            for s in dict.fromkeys(p // n * n for p in places):
-                if bisect_left(places, s + 2 * n) - bisect_left(places, s) < self.need[name]:
-                    continue
-                found = align(lowered[s : s + 2 * n], t)
-                if len(found) > best[0]:
-                    best = (len(found), s + found[0][0])
+            for i, p in enumerate(places[: max(0, len(places) - need + 1)]):
+                # starts of the windows whose first word of the template is this one
+                for s in range(max(places[i - 1] + 1 if i else 0, places[i + need - 1] - 2 * n + 1), p + 1):
+                    held = Counter(lowered[q] for q in places[i : bisect_left(places, s + 2 * n)])
+                    most = sum((held & own).values())
+                    if most < max(need, best[0] + (s > best[1])):
+                        continue
+                    found = align(lowered[s : s + 2 * n], t)
+                    if found:
+                        best = max(best, (len(found), s + found[0][0]), key=lambda x: (x[0], -x[1]))
             if best[0] >= self.need[name]:
                 yield name, best[0], n, best[1]
 

@@ -148,3 +148,25 @@ def test_scan_equals_all_windows():
             if best >= s.need[name]:
                 want[name] = best
         assert {name: k for name, k, *_ in s.scan(text)} == want
+
+
+@pytest.mark.parametrize("at", range(10))
+def test_a_notice_is_found_wherever_it_stands(at):
+    text = "w " * at + "Released under the terms and conditions of the MIT License" + " w" * 10
+    assert list(licenses.Scanner(licenses.TEMPLATES, 4, 5).scan(text)) == [("MIT", 5, 5, at)]
+
+
+def test_scan_equals_windows_from_every_word():
+    """Brute force: every window of twice the template's length; of equal coverage the first place."""
+    import random
+    rng = random.Random(3)
+    s = licenses.Scanner({"t": "a b c d e", "u": "c a b", "v": "a b a c a d"}, 4, 5)
+    for _ in range(1000):
+        w = [rng.choice("abcdexyz").encode() for _ in range(rng.randint(0, 40))]
+        want = set()
+        for name, t in s.templates.items():
+            found = [(-len(f), i + f[0][0]) for i in range(len(w)) if (f := licenses.align(w[i : i + 2 * len(t)], t))]
+            k, first = min(found, default=(0, 0))
+            if -k >= s.need[name]:
+                want.add((name, -k, len(t), first))
+        assert set(s.scan(b" ".join(w).decode())) == want
