@@ -16,7 +16,7 @@ from strandlog.operators.matcher import Matcher, Template, match_templates
 from strandlog.operators.split import hash_sample
 from strandlog.plans.schema import INGEST
 
-#: Distinct shapes of unmatched lines that get a template in one micro-batch; the rest come up again with later lines.
+#: Distinct shapes of unmatched lines that get a template at once; the rest come up in the next round.
 NEW_TEMPLATES = 1_000
 
 
@@ -50,12 +50,31 @@ def unmatched_shapes(rows: DataFrame, limit: int = NEW_TEMPLATES) -> DataFrame:
     return shapes.orderBy(F.desc("n"), "signature").limit(limit)
 
 
+def grow(rows: DataFrame, matcher: Matcher, generators: list[TemplateGenerator], limit: int = NEW_TEMPLATES) -> Matcher:
+    """The matcher with templates for all unmatched shapes of the log rows: rounds of the most frequent shapes, each after matching with what the rounds before made. A shape is tried once."""
+    sig = template_signature(tokenize_fragments(F.col("message")))
+    tried: list[str] = []
+    while True:
+        rest = rows.where("template_id = ''")
+        if tried:
+            known = rows.sparkSession.createDataFrame([(t,) for t in tried], "tried string")
+            rest = rest.withColumn("shape", sig).join(known, F.col("shape").eqNullSafe(F.col("tried")), "left_anti").drop("shape")
+            rest = storage.to_log_rows(match_templates(rest.drop("template_id"), matcher))
+        shapes = unmatched_shapes(rest, limit).collect()  # at most limit
+        if not shapes:
+            return matcher
+        tried += [r["signature"] for r in shapes]
+        lines = rows.sparkSession.createDataFrame([(r["signature"], r["message"]) for r in shapes], "signature string, message string")
+        for r in generate(lines, generators, "signature").where("rank = 0").orderBy("signature").collect():
+            matcher = matcher.add(Template(0, r["pattern"], list(r["variables"]), ""))
+        if len(shapes) < limit:
+            return matcher
+
+
 def match_or_generate(rows: DataFrame, matcher: Matcher, generators: list[TemplateGenerator] | None = None) -> tuple[DataFrame, Matcher]:
-    """A micro-batch: match, make templates for the distinct unmatched shapes, match again once with the larger catalogue."""
+    """A micro-batch: match, make templates for all distinct unmatched shapes, match again with the larger catalogue."""
     matched = storage.to_log_rows(match_templates(rows, matcher))
-    made = generate(unmatched_shapes(matched), generators or [RuleGenerator()], "signature").where("rank = 0").orderBy("signature").collect()  # at most NEW_TEMPLATES
-    for r in made:
-        matcher = matcher.add(Template(0, r["pattern"], list(r["variables"]), ""))
+    matcher = grow(matched, matcher, generators or [RuleGenerator()], NEW_TEMPLATES)
     return storage.to_log_rows(match_templates(rows, matcher)), matcher
 
 
@@ -82,10 +101,9 @@ class Ingestion:
             matched = rows.where("template_id <> ''")
             hash_sample(matched, "message", int(self.examples * 100), 100).select("org_id", "log_stream_id", "service", "region", "template_id", "message", "timestamp").write.mode("overwrite").parquet(f"{self.path}/template_examples/epoch={epoch}")
             if self.generators is not None and counts["matched"] < counts["accepted"]:
-                new = generate(unmatched_shapes(rows), self.generators, "signature").where("rank = 0").orderBy("signature").collect()
-                for r in new:
-                    self.matcher = self.matcher.add(Template(0, r["pattern"], list(r["variables"]), ""))
-                self.stats["templates_added"] += len(new)
+                before = len(self.matcher.templates)
+                self.matcher = grow(rows, self.matcher, self.generators, NEW_TEMPLATES)
+                self.stats["templates_added"] += len(self.matcher.templates) - before
             self.stats["batches"] += 1
             self.stats["accepted"] += counts["accepted"]
             self.stats["matched"] += counts["matched"]

@@ -70,6 +70,15 @@ def test_ingest(spark):
     assert again.where("template_id = ''").count() == 0 and len(m.templates) == 4
 
 
+def test_more_shapes_than_one_round_makes(spark):
+    """Every unmatched shape gets a template, however many there are."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    lines = [f"{word(i)}failed" for i in range(ingest.NEW_TEMPLATES + 30)]
+    parsed = ingest.parse_requests(spark.createDataFrame([(request(m),) for m in lines], "value string")).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    rows, m = ingest.match_or_generate(parsed, Matcher.seeded())
+    assert rows.where("template_id = ''").count() == 0 and len(m.templates) == len(Matcher.seeded().templates) + len(lines)
+
+
 def test_stream_is_batch(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
