@@ -116,3 +116,11 @@ def test_sinks(spark, tmp_path):
 def test_kl(spark):
     rows = spark.createDataFrame([("a", True), ("b", False)], "v string, now boolean")
     assert storage.kl_divergence(rows, "v", F.col("now")).first()["kl"] == pytest.approx(0.231049, abs=1e-6)
+
+
+def test_positional_join_keeps_every_line(spark):
+    from strandlog import queries
+
+    data = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{data}/events.parquet").count()
+    assert queries.queries()["positional_join_whole"](spark, data).count() == n == 10_000
