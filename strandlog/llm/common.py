@@ -87,7 +87,7 @@ def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of parts of a batch; null texts are empty."""
     texts = batch.column(batch.schema.get_field_index(column))
     if texts.null_count:
@@ -101,7 +101,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + SLICE_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + (size or SLICE_BYTES), "right")) - 1)
         j = min(j, n)
         yield i, j, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j

@@ -33,12 +33,11 @@ def encode_ordered(docs: DataFrame, path: str | None = None, end_id: int = 2) ->
 
     def run(batches):
         enc, part, at = tokens.encoder(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            coded = [x + int(end_id).to_bytes(4, "little") for x in enc.encode(batch.column(1).to_pylist())]
-            n = np.array([len(x) // 4 for x in coded], np.int64)
-            ends = at + np.cumsum(n)
-            at = int(ends[-1]) if len(n) else at
-            ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), np.frombuffer(b"".join(coded), "<i4"))
+        for batch in tokens.gathered(batches):
+            coded, first = enc.encode_ended(batch.column(1), end_id)
+            n, ends = np.diff(first), at + first[1:]
+            at += len(coded)
+            ids = pa.ListArray.from_arrays(first.astype(np.int32), coded.view(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(n), ids], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts_of(spark), "doc_id").sortWithinPartitions("doc_id", "text")

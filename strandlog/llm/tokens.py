@@ -1,9 +1,13 @@
 """Token ids of whole texts, by the tokenizers library and a published vocabulary file.
 
-A text is cut where a space follows a character that is not white space: the pre-tokenizer of a
-byte-level BPE never joins the two, so the parts' ids are the text's ids. Each distinct part is
-encoded once by the library and kept in a bounded table, which is several times faster than
-encoding whole texts and gives the same ids.
+A text is cut only where the pre-tokenizer of a byte-level BPE always cuts: before white space that
+follows something else, before marks that follow a letter or digit, and around a line feed that
+stands alone. The parts' ids one after another then are the text's ids. The cuts of a batch are
+found in numpy and its parts numbered in Arrow, without copying; each distinct part is encoded once
+by the library and kept in a bounded table, from which the ids of the batch are gathered.
+
+The library's own handling of added tokens holds: a string such as ``<|endoftext|>`` inside a text
+is that token. Texts that hold one, and texts with white space beyond ASCII, go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,14 +16,28 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from strandlog.llm.common import text_slices
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Parts kept by an encoder: about 150 MB; the table starts anew beyond that.
-KEPT_PARTS = 600_000
+KEPT_PARTS = 1_000_000
 #: Words of Latin letters only: one pre-token each, so the model can be asked without the rest of the pipeline.
-_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-#: Marks that end a word: between a letter and a run of marks pre-tokens always part.
-_MARKS = ".,;:!?*#$%&|\""
+_LATIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: Bytes of text whose parts are numbered together.
+SLICE = 1 << 22
+#: Classes of bytes: 1 white space, 2 letters and digits, 3 marks that never belong to a word, 4 line feed; 0 others.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[9, 11, 12, 13, 32]] = 1
+_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 2
+_CLASS[list(b".,;:!?*#$%&|\"")] = 3
+_CLASS[10] = 4
+#: White space beyond ASCII, in UTF-8: first byte and the bytes after it.
+_WIDE = {0xC2: (b"\x85", b"\xa0"), 0xE1: (b"\x9a\x80",), 0xE2: (*(bytes([0x80, x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\x81\x9f"), 0xE3: (b"\x80\x80",)}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -35,88 +53,133 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where the parts of all texts begin (and the end), in ascending order; every text's begin is among them."""
+    kind = _CLASS[buf]
+    space = (kind == 1) | (kind == 4)
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[1:-1] = space[1:] & ~space[:-1]
+    word = kind == 2
+    latin = buf[:-1] == 0xC3  # the Latin letters of two bytes that begin so, but for two signs
+    latin &= (buf[1:] >= 0x80) & (buf[1:] <= 0xBF) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+    word[1:] |= latin
+    cut[1:-1] |= (kind[1:] == 3) & word[:-1]
+    feed = np.flatnonzero(kind == 4)
+    feed = feed[(feed > 0) & (feed < len(buf) - 1)]
+    cut[feed[~space[feed - 1] & ~space[feed + 1]] + 1] = True
+    cut[offs] = True
+    return np.flatnonzero(cut)
+
+
+def wide_spaces(buf: np.ndarray) -> np.ndarray:
+    """Places of white space beyond ASCII."""
+    out = []
+    for lead, rests in _WIDE.items():
+        at = np.flatnonzero(buf == lead)
+        for rest in rests if len(at) else ():
+            inside = at[at + len(rest) < len(buf)]
+            same = np.ones(len(inside), bool)
+            for i, x in enumerate(rest, 1):
+                same &= buf[inside + i] == x
+            out.append(inside[same])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 class Encoder:
     def __init__(self, path: str, kept: int = KEPT_PARTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
-        self.kept, self.after_space, self.at_start, self.marks = kept, {}, {}, {}
-        self.letters = _byte_letters()
-        self.space = chr(self.letters[32])
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _new(self, parts: list[str], table: dict[str, bytes], before: str) -> None:
-        """Adds parts, each standing after ``before``, to a table."""
-        ask, letters, start = self.tokenizer.model.tokenize, self.letters, self.space if before else ""
-        rest = []
-        for p in parts:
-            word = p.rstrip(_MARKS)
-            if not _LATIN.fullmatch(word):
-                rest.append(p)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kept, self.letters = kept, _byte_letters()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ids, self.begin = array("I"), array("q", [0, 0])  # place i: ids[begin[i] : begin[i + 1]]; place 0 has none
+
+    def _place(self, ids) -> int:
+        self.ids.extend(ids)
+        self.begin.append(len(self.ids))
+        return len(self.begin) - 2
+
+    def _ask(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _add(self, parts: list[str]) -> None:
+        """Gives parts not seen before their places."""
+        latin = [p for p in parts if _LATIN.fullmatch(p)]
+        forms = "\n".join(latin).encode().decode("latin-1").translate(self.letters).split(chr(self.letters[10])) if latin else []
+        model, ids, ends, at = self.tokenizer.model.tokenize, [], [], len(self.ids)
+        for form in forms:
+            ids += [t.id for t in model(form)]
+            ends.append(at + len(ids))
+        others = [p for p in parts if not _LATIN.fullmatch(p)] if len(latin) < len(parts) else []
+        for p in others:
+            ids += self._ask(p)
+            ends.append(at + len(ids))
+        self.places.update(zip(latin + others, range(len(self.begin) - 1, len(self.begin) - 1 + len(parts))))
+        self.ids.extend(ids)
+        self.begin.extend(ends)
+
+    def encode_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch of texts one after another, and where each text's ids begin (one more at the end); null is empty."""
+        ids, first = [], [np.zeros(1, np.int64)]
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        for i, j, buf, offs in text_slices(batch, size=SLICE):
+            if not len(buf):
+                first.append(np.full(j - i, first[-1][-1]))
                 continue
-            ids = table.get(word)
-            if ids is None:
-                form = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-                ids = table[word] = array("I", [t.id for t in ask(start + form)]).tobytes()
-            if len(word) < len(p):
-                tail = p[len(word) :]
-                if tail not in self.marks:
-                    if len(self.marks) > self.kept:
-                        self.marks.clear()
-                    self.marks[tail] = self._encode([tail])[0]
-                table[p] = ids + self.marks[tail]
-        table.update(zip(rest, self._encode([before + p for p in rest])))
+            found, ends = self._slice(texts.slice(i, j - i), buf, offs)
+            ids.append(found)
+            first.append(first[-1][-1] + ends)
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(first)
+
+    def _slice(self, texts: pa.Array, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, and where each text's ids end."""
+        if len(self.places) > self.kept:
+            self._forget()
+        whole = np.zeros(len(texts), bool)
+        for s in self.added:
+            whole |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
+        whole[np.searchsorted(offs, wide_spaces(buf), "right") - 1] = True
+        at = cuts(buf, offs)
+        first = np.searchsorted(at, offs)  # each text's first part
+        parts = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(buf))
+        coded = parts.dictionary_encode()
+        get = self.places.get
+        distinct = coded.dictionary.to_pylist()
+        found = np.fromiter((get(p, -1) for p in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            words = [distinct[i] for i in new.tolist()]
+            self._add(words)
+            found[new] = [get(p) for p in words]
+        place = found[coded.indices.to_numpy()]
+        kept = len(self.begin), len(self.ids)
+        for i in np.flatnonzero(whole).tolist():  # their ids are not kept
+            place[first[i] : first[i + 1]] = 0
+            place[first[i]] = self._place(self._ask(texts[i].as_py()))
+        begin = np.frombuffer(self.begin, np.int64)
+        n = begin[place + 1] - begin[place]
+        ends = np.cumsum(n)
+        where = np.arange(ends[-1], dtype=np.int32)
+        where += np.repeat((begin[place] - (ends - n)).astype(np.int32), n)
+        out = np.frombuffer(self.ids, np.uint32)[where]
+        del begin
+        if whole.any():
+            del self.begin[kept[0] :], self.ids[kept[1] :]
+        return out, np.append(0, ends)[first[1:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        for kept in (self.after_space, self.at_start):
-            if len(kept) > self.kept:
-                kept.clear()
-        get = self.after_space.get
-        split = [(t or "").split(" ") for t in texts]
-        found = [list(map(get, p)) for p in split]
-        odd, new = set(), set()
-        for i, (parts, ids) in enumerate(zip(split, found)):
-            if parts[0] == "" or parts[0][-1].isspace():
-                odd.add(i)
-            if None in ids:
-                missed = {p for p, x in zip(parts[1:], ids[1:]) if x is None}
-                if any(p == "" or p[-1].isspace() for p in missed):
-                    odd.add(i)
-                    missed = {p for p in missed if p and not p[-1].isspace()}
-                new |= missed
-        if new:
-            self._new(sorted(new), self.after_space, " ")
-        heads = {p[0] for i, p in enumerate(split) if i not in odd} - self.at_start.keys()
-        if heads:
-            self._new(sorted(heads), self.at_start, "")
-        out = []
-        for i, (parts, ids) in enumerate(zip(split, found)):
-            if i in odd:
-                out.append(b"".join(self._encode(_whole_runs(parts))))
-            else:
-                if None in ids:
-                    ids = list(map(get, parts))
-                ids[0] = self.at_start[parts[0]]
-                out.append(b"".join(ids))
-        return out
-
-
-def _whole_runs(parts: list[str]) -> list[str]:
-    """Parts put together again so that no run of white space is cut."""
-    out, now = [], [parts[0]]
-    last = parts[0][-1:]
-    for p in parts[1:]:
-        if last == "" or last.isspace():
-            now += [" ", p]
-        else:
-            out.append("".join(now))
-            now = [" ", p]
-        last = p[-1:] or " "
-    return [*out, "".join(now)]
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, first = self.encode_arrow(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(first[:-1], first[1:])]
+
+    def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_arrow, with an end id after each text."""
+        ids, first = self.encode_arrow(texts)
+        return np.insert(ids, first[1:], np.uint32(end_id)), first + np.arange(len(first))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -127,3 +190,16 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def gathered(batches, size: int = 1 << 22):
+    """Batches put together to about ``size`` bytes, so that more of their parts coincide."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()[:1]
