@@ -7,6 +7,7 @@ Everything here works on whole Arrow batches with numpy; no text is cut or sampl
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,12 +42,14 @@ def lower_ascii(text: Column) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage; only where none is set, as in tests, a folder of our own."""
+    """The shared folder for cut lineage that the cluster names; a folder of our own only where none is set and all runs in one JVM, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(spark, "_strandlog_scratch", None) or tempfile.mkdtemp(prefix="strandlog-")
         spark._strandlog_scratch = root
         spark.sparkContext.setCheckpointDir(root)
@@ -72,6 +75,12 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """n column names that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [x for x in (f"_own{i}" for i in range(n + len(taken))) if x not in taken][:n]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Sends Python fewer rows at once, as texts can be long; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
