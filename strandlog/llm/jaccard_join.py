@@ -5,19 +5,20 @@ are dealt into D groups (D a power of two that follows the size of the set); the
 the document's point. For two points the sum of the coordinate minima bounds the overlap of the
 sets from above. Points are bulk-loaded into R-trees whose nodes keep their upper corner and
 their range of sizes, and the self-join of a tree prunes pairs of nodes whose bound is below the
-overlap that the threshold asks for. Surviving pairs are verified on the sets themselves.
+overlap that the threshold asks for. Surviving pairs are verified on the sets themselves. Every
+link comes out of a tree.
 
 Points of ordinary texts spread over all coordinates, so one tree over a whole corpus would
-compare nearly all nodes. Which points can meet is therefore decided first, without loss: of a
-set of n hashes, ordered by rising frequency (a count sketch of fixed size over all documents, by
-which only speed depends) and hash, two linked sets share one of the first n - ceil(t n) + 1.
-Each such hash held by several sets is a bucket, and its points make a tree.
+compare nearly all nodes. Which points share a tree is therefore decided first, without loss: of a
+set of n hashes, ordered by rising frequency (a count sketch over all documents, by which only
+speed depends) and hash, two linked sets share one of the first n - ceil(t n) + 1. Keys are counted
+first, and only those held by several sets go on; each makes a bucket, and its points a tree.
 
-Links are needed for components only, so near-copy groups are not expanded into all pairs: every
-point is first verified against its bucket's pivot, the components of those links are found, and
-trees then look for pairs in different components only: once for each point's nearest such pair,
-which joins most of what belongs together, and, with the components of these links, once for all. Buckets over ``BUCKET`` points are dealt
-into blocks, and each pair of blocks is a task's tree of its own.
+Links are needed for components only, so groups of near copies are not expanded into all pairs.
+Trees are joined in three rounds, each of which looks only for pairs in different components of the
+links found before: within blocks of ``BLOCK`` points of a bucket, of each point only its nearest
+pair; then among one point of each component in a bucket, again the nearest; and then all pairs
+that are left, buckets over ``BUCKET`` points in blocks, each pair of blocks a tree of its own.
 
 Equal sets are one class from the start (copies are not compared). Defined results: null and
 empty texts have the empty set and link with nothing; a text of fewer words than k has one
@@ -38,9 +39,12 @@ from pyspark.sql import functions as F
 from strandlog.llm.common import Workspace, mix, parts_of, shingle_sets, small_batches, text_slices
 from strandlog.llm.components import components
 
-#: Counters of the frequency sketch (4 bytes each), whatever the corpus.
-SKETCH = 1 << 20
-#: Points of a tree's block.
+#: Counters of the frequency sketch (4 bytes each): a power of two between these, by the size of the input.
+SKETCH, MOST_SKETCH = 1 << 18, 1 << 22
+#: Sketches that one task adds up.
+FAN = 16
+#: Points of a tree in the first two rounds, and of a block in the last.
+BLOCK = 512
 BUCKET = 2048
 LEAF = 48
 #: Ids that are broadcast to pick rows at the scan; beyond it the join shuffles.
@@ -56,9 +60,9 @@ def set_name(shingles: np.ndarray) -> int:
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    """Counts of the set's hashes in D groups, as bytes; D is twice the set's size or more up to 2048, and grows until every count fits."""
+    """Counts of the set's hashes in D groups, as bytes; D is half the set's size or more up to 2048, and grows until every count fits."""
     d = 16
-    while d < 2 * len(shingles) and d < 2048:
+    while 2 * d < len(shingles) and d < 2048:
         d *= 2
     while True:
         counts = np.bincount((shingles & np.uint64(d - 1)).astype(np.int64), minlength=d)
@@ -139,10 +143,7 @@ class CountTree:
 
 
 def tree_pairs(sizes: np.ndarray, group: np.ndarray, points: list[np.ndarray], num: int, den: int):
-    """Arrays of pairs of a bucket, and the bound as a share of both sizes, by trees: one for each number of groups d, over its own points and the finer ones folded to d.
-
-    The tree itself holds points of an eighth as many groups; the pairs it leaves are bounded once more by all d.
-    """
+    """Arrays of pairs of a bucket, and the bound as a share of both sizes, by trees: one for each number of groups d, over its own points and the finer ones folded to d."""
     dims = np.array([len(p) for p in points])
     for d in np.unique(dims):
         rows = np.flatnonzero(dims >= d)
@@ -151,23 +152,26 @@ def tree_pairs(sizes: np.ndarray, group: np.ndarray, points: list[np.ndarray], n
         lo, hi = sizes[rows][own].min(), sizes[rows][own].max()
         near = own | ((den * sizes[rows] >= num * lo) & (num * sizes[rows] <= den * hi))
         rows, own = rows[near], own[near]
-        fine = np.stack([fold(points[r][None, :], d)[0] for r in rows])
+        folded = np.stack([fold(points[r][None, :], d)[0] for r in rows])
         n = sizes[rows]
-        for x, y in CountTree(fold(fine, max(16, d // 8)), n, group[rows]).join(num, den, own):
+        for x, y in CountTree(folded, n, group[rows]).join(num, den, own):
             for at in range(0, len(x), 4096):
                 i, j = x[at : at + 4096], y[at : at + 4096]
-                most = np.minimum(fine[i], fine[j]).sum(1)
-                fits = most * (num + den) >= num * (n[i] + n[j])
-                if fits.any():
-                    yield rows[i[fits]], rows[j[fits]], most[fits] / (n[i] + n[j])[fits]
+                yield rows[i], rows[j], np.minimum(folded[i], folded[j]).sum(1) / (n[i] + n[j])
+
 
+def sketch_slots(docs: DataFrame) -> int:
+    """Counters for a corpus of this size: one for about 256 bytes of input, as the optimizer estimates it."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_SKETCH, max(SKETCH, 1 << (size // 256).bit_length()))
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+
+def _sets(docs: DataFrame, k: int, slots: int) -> DataFrame:
     """doc_id, n, node (name of the set); after the rows of a partition one with its frequency sketch."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        sketch = np.zeros(SKETCH, np.uint32)
+        sketch = np.zeros(slots, np.uint32)
         empty = True
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -175,8 +179,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(buf, offs, k)
                 for d, s in enumerate(sets):
                     n[i + d], node[i + d] = len(s), set_name(s)
-                slots = np.concatenate(sets) & np.uint64(SKETCH - 1)
-                np.add.at(sketch, slots.astype(np.int64), np.uint32(1))
+                at, count = np.unique(np.concatenate(sets) & np.uint64(slots - 1), return_counts=True)
+                sketch[at.astype(np.int64)] += count.astype(np.uint32)
             empty = False
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node), pa.nulls(batch.num_rows, pa.binary())], names=["doc_id", "n", "node", "sketch"])
         if not empty:
@@ -185,8 +189,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, sketch binary")
 
 
-def _sum_sketches(rows: DataFrame) -> np.ndarray:
-    """The sum of all partitions' sketches: added pairwise on the executors, so the driver gets a few of fixed size."""
+def _sum_sketches(rows: DataFrame, slots: int, ws: Workspace) -> np.ndarray:
+    """The sum of all partitions' sketches: a tree of sums on the executors, of which the driver gets the root."""
     def run(batches):
         total = None
         for batch in batches:
@@ -196,9 +200,14 @@ def _sum_sketches(rows: DataFrame) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["sketch"])
 
-    got = rows.where("sketch is not null").select("sketch").repartition(4).mapInArrow(run, "sketch binary").collect()
-    total = np.zeros(SKETCH, np.uint64)
-    for r in got:
+    now = rows.where("sketch is not null").select("sketch")
+    n, level = now.count(), 0
+    while n > FAN:
+        n = -(-n // FAN)
+        now = ws.write(now.repartition(n).mapInArrow(run, "sketch binary"), f"sketch-{level}")
+        level += 1
+    total = np.zeros(slots, np.uint64)
+    for r in now.toLocalIterator():  # at most FAN, one after another
         total += np.frombuffer(zlib.decompress(r["sketch"]), np.uint32)
     return np.minimum(total, 2**32 - 1).astype(np.uint32)
 
@@ -207,6 +216,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
     """(key, node, n) of each set's prefix, and with key null (node, n, point) of each set; a set once for each partition."""
     def run(batches):
         counts, seen = sketch.value, set()
+        mask = np.uint64(len(counts) - 1)
         for batch in batches:
             keys, nodes, sizes, pt_nodes, pt_sizes, pts = [], [], [], [], [], []
             for i, _, buf, offs in text_slices(batch):
@@ -219,7 +229,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
                     seen.add(node)
                     n = len(s)
                     take = n - -(-num * n // den) + 1
-                    f = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+                    f = counts[(s & mask).astype(np.int64)]
                     if take < n:
                         low = np.partition(f, take - 1)[take - 1]
                         rare, even = s[f < low], s[f == low]
@@ -243,26 +253,15 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, node long, n long, point binary")
 
 
-def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, na, nb, pa, pb) whose points' bound reaches the overlap asked for."""
-    def run(batches):
-        for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            pts = [(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(pts):
-                d = min(len(x), len(y))
-                ok[i] = int(np.minimum(fold(x[None, :], d), fold(y[None, :], d)).sum()) * (num + den) >= num * (na[i] + nb[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
-
-    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+def _if_few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, ws: Workspace, name: str) -> DataFrame:
     """The pairs of nodes whose sets are similar enough."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     ids = ws.write(classes.join(need, "node", "left_semi").select("doc_id").distinct(), f"{name}-ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
     def run(batches):
         for batch in batches:
@@ -273,7 +272,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "node", "shingles"])
 
-    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(_if_few(ids), "doc_id", "left_semi")
     sets = chosen.mapInArrow(run, "doc_id long, node long, shingles binary").join(classes, ["doc_id", "node"], "left_semi").select("node", "shingles")
     sets = ws.write(sets.dropDuplicates(["node"]), f"{name}-sets")
 
@@ -296,111 +295,126 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
 
 
 def _bucket_pairs(rows: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) from trees over the points of each (key, block, block); nearest: of each point only the pair with the highest bound."""
+    """Pairs (a, b) from trees over the points of each (key, block, block); nearest: of each point only the pair with the highest bound in all its trees."""
     def tree(nodes, sizes, roots, blocks, points, i, j):
-        if i != j and (len(set(blocks)) < 2):
+        """Arrays (a, b, share)."""
+        nodes, sizes, roots, blocks = np.array(nodes), np.array(sizes), np.array(roots), np.array(blocks)
+        if i != j and (blocks == blocks[0]).all():
             return
-        nodes, sizes, roots = np.array(nodes), np.array(sizes), np.array(roots)
-        blocks = np.array(blocks)
         group = np.unique(roots, return_inverse=True)[1]
         best, partner = np.zeros(len(nodes)), np.full(len(nodes), -1)
         for x, y, share in tree_pairs(sizes, group, points, num, den):
             if i != j:
                 keep = blocks[x] != blocks[y]
                 x, y, share = x[keep], y[keep], share[keep]
-            if nearest:
-                for p, q in ((x, y), (y, x)):
-                    order = np.lexsort((-share, p))
-                    p, q, r = p[order], q[order], share[order]
-                    first = np.ones(len(p), bool)
-                    first[1:] = p[1:] != p[:-1]
-                    p, q, r = p[first], q[first], r[first]
-                    up = r > best[p]
-                    best[p[up]], partner[p[up]] = r[up], q[up]
-            else:
-                yield from zip(np.minimum(nodes[x], nodes[y]).tolist(), np.maximum(nodes[x], nodes[y]).tolist())
+            if not nearest:
+                yield np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y]), share
+                continue
+            for p, q in ((x, y), (y, x)):
+                order = np.lexsort((nodes[q], -share, p))
+                p, q, r = p[order], q[order], share[order]
+                first = np.ones(len(p), bool)
+                first[1:] = p[1:] != p[:-1]
+                p, q, r = p[first], q[first], r[first]
+                up = r > best[p]
+                best[p[up]], partner[p[up]] = r[up], q[up]
         x = np.flatnonzero(partner >= 0)
-        y = partner[x]
-        yield from zip(np.minimum(nodes[x], nodes[y]).tolist(), np.maximum(nodes[x], nodes[y]).tolist())
+        if len(x):
+            yield nodes[x], nodes[partner[x]], best[x]
 
     def run(batches):
-        at, held, found = None, None, set()
+        at, held = None, None
+
         def flush():
             if held and len(held[0]) > 1:
-                found.update(tree(*held, at[1], at[2]))
-        def out():
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                for a, b, share in tree(*held, at[1], at[2]):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(share)], names=["a", "b", "share"])
+
         for batch in batches:
             for key, i, j, block, node, n, root, pt in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != (key, i, j):
-                    flush()
+                    yield from flush()
                     at, held = (key, i, j), ([], [], [], [], [])
-                    if len(found) > 100_000:
-                        yield out()
                 for h, x in zip(held, (node, n, root, block, np.frombuffer(pt, np.uint8))):
                     h.append(x)
-        flush()
-        if found:
-            yield out()
-
-    return rows.select("key", "i", "j", "block", "node", "n", "root", "point").mapInArrow(run, "a long, b long").distinct()
+        yield from flush()
+
+    found = rows.select("key", "i", "j", "block", "node", "n", "root", "point").mapInArrow(run, "a long, b long, share double")
+    if nearest:
+        found = found.groupBy("a").agg(F.max(F.struct("share", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.select("a", "b").distinct()
+
+
+def _dealt(shared: DataFrame, points: DataFrame, roots: DataFrame | None, step: str, ws: Workspace) -> DataFrame:
+    """The rows of the trees of a round: those of buckets whose sets are not all in one component yet, by (key, i, j)."""
+    placed = shared.withColumn("root", F.col("node"))
+    if roots is not None:
+        placed = ws.write(shared.join(_if_few(roots), "node", "left").withColumn("root", F.coalesce("root", "node")), f"{step}-placed")
+    if step == "among":
+        placed = placed.groupBy("key", "root").agg(F.min(F.struct("node", "n")).alias("m")).select("key", "root", "m.node", "m.n")
+    span = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1")
+    open_ = ws.write(span.select("key", F.ceil(F.col("size") / (BUCKET if step == "all" else BLOCK)).cast("int").alias("nb")), f"{step}-open")
+    rows = placed.join(_if_few(open_), "key").join(points.select("node", "point"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    if step == "all":
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    else:
+        rows = rows.withColumn("other", F.col("block"))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "point")
+    return rows.repartition(parts_of(shared.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: components of the links with Jaccard similarity of num/den or more."""
     spark = docs.sparkSession
     ws = Workspace(spark, "jaccard")
-    both = ws.write(_sets(docs, k), "sets")
-    sketch = spark.sparkContext.broadcast(_sum_sketches(both))
+    slots = sketch_slots(docs.select("doc_id", "text"))
+    both = ws.write(_sets(docs, k, slots), "sets")
+    sketch = spark.sparkContext.broadcast(_sum_sketches(both, slots, ws))
     sets = both.where("n >= 0").select("doc_id", "n", "node")
-    classes = ws.write(sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
+    classes = ws.write(sets.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
     prefixes = ws.write(_prefixes(docs, k, num, den, sketch), "prefixes")
-    points = ws.write(prefixes.where("key is null").select("node", "n", "point").dropDuplicates(["node"]), "points")
     rows = prefixes.where("key is not null").select("key", "node", "n")
-    buckets = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot < top").drop("top")
-    shared = ws.write(rows.join(buckets, "key").distinct(), "shared")
+    # keys are counted alone, so that what is shuffled of most rows is a key and a count
+    company = ws.write(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "company")
+    shared = ws.write(rows.join(_if_few(company), "key").distinct(), "shared")
+    need = shared.select("node").distinct()
+    points = ws.write(prefixes.where("key is null").select("node", "n", "point").join(need, "node", "left_semi").dropDuplicates(["node"]), "points")
     ws.drop("prefixes")
-    pt = lambda side: points.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("point").alias(f"p{side}"))
-    fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
-    star = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    star = ws.write(_bounded(star.join(pt("b"), "b").join(pt("a"), "a").where(fits), num, den), "star")
-    tried = star
-    links = _verified(star, docs, classes, k, num, den, ws, "star")
-    roots = ws.write(components(links, ws, "first"), "roots")
-    for step in ("nearest", "all"):
-        # buckets of more than two sets whose sets are not all in one component yet
-        placed = ws.write(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{step}-placed")
-        open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1 and size > 2").select("key", F.ceil(F.col("size") / BUCKET).cast("int").alias("nb"))
-        dealt = placed.join(open_, "key").join(points.select("node", "point"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "point")
-        dealt = dealt.repartition(parts_of(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        more = ws.write(_bucket_pairs(dealt, num, den, step == "nearest").join(tried, ["a", "b"], "left_anti"), step)
-        ws.drop(f"{step}-placed")
-        tried = tried.union(more)
-        links = links.union(_verified(more, docs, classes, k, num, den, ws, step))
-        if step == "nearest":
-            roots = ws.write(components(links, ws, "second"), "roots-2")
+    ws.drop("company")
+    links, tried, roots = None, None, None
+    for step in ("within", "among", "all"):
+        pairs = _bucket_pairs(_dealt(shared, points, roots, step, ws), num, den, step != "all")
+        pairs = ws.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), step)
+        for name in ("placed", "open"):
+            ws.drop(f"{step}-{name}")
+        if links is not None and not pairs.limit(1).count():
+            continue
+        tried = pairs if tried is None else tried.union(pairs)
+        found = _verified(pairs, docs, classes, k, num, den, ws, step)
+        links = found if links is None else links.union(found)
+        if step != "all":
+            roots = ws.write(components(links, ws, step), f"{step}-roots")
     ws.drop("shared")
-    # vertices are doc ids from here on: copies with their class, and each link between two classes
+    ws.drop("points")
+    # vertices are doc ids from here on
     ids = classes.select("node", "doc_id")
     all_links = links.join(ids.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), "a").join(ids.select(F.col("node").alias("b"), F.col("doc_id").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    named = sets.join(ids.withColumnRenamed("doc_id", "class_id"), "node", "left")
-    copies = named.where("class_id is not null and doc_id is not null and doc_id <> class_id").select(F.col("class_id").alias("b"), F.col("doc_id").alias("a"))
     repeated = sets.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").limit(1).count()
     if repeated:  # a doc_id with several texts joins their classes, so copies are edges too
-        roots2 = components(all_links.union(copies), ws, "final").withColumnRenamed("root", "component_id")
-        named = named.withColumn("class_id", F.col("doc_id"))
-    else:
-        roots2 = components(all_links, ws, "final").withColumnRenamed("root", "component_id")
-    roots2 = ws.write(roots2, "components")
-    out = named.join(roots2, named["class_id"] == roots2["node"], "left").select(named["doc_id"], F.col("n").alias("n_shingles"), F.when(named["doc_id"].isNotNull(), F.coalesce("component_id", "class_id", named["doc_id"])).alias("component_id"))
-    return out
+        copies = sets.where("doc_id is not null").join(ids.withColumnRenamed("doc_id", "class_id"), "node").where("doc_id <> class_id").select(F.col("class_id").alias("b"), F.col("doc_id").alias("a"))
+        moved, by = ws.write(components(all_links.unionByName(copies), ws, "final").where("node <> root"), "components").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id")), "doc_id"
+    else:  # only sets that have copies or links have another id than their document's
+        roots = components(all_links, ws, "final").select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+        joined = classes.join(roots, "doc_id", "left").where("copies > 1 or component_id is not null")
+        moved, by = ws.write(joined.select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "components"), "node"
+    ws.drop("classes")
+    out = sets.join(_if_few(moved), by, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the smallest doc_id stays; null ids stay."""
+    """The rows of docs without near-duplicates, with all their columns: of each component the smallest doc_id stays; null ids stay."""
     found = jaccard_components(docs.select("doc_id", "text"), k, num, den)
-    going = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(going, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    going = Workspace(docs.sparkSession, "near-copies").write(found.where("doc_id <> component_id").select("doc_id").distinct(), "going")
+    return docs.join(_if_few(going), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
