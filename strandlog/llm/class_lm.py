@@ -4,20 +4,22 @@ P(text) is the product over its tokens of P(class | previous class) * P(word | c
 statistics come from all training documents: word counts, counts of adjacent word types, and from
 them class transitions and emissions.
 
-Words are named by 64-bit hashes. Every word of the training documents gets a class by the exchange
-criterion on its own neighbour counts, in two steps. A word's *type* is the word itself for the
+Words are named by 64-bit hashes. Words of the training documents get their classes by the exchange
+criterion on their own neighbour counts, in two steps. A word's *type* is the word itself for the
 ``HEAD`` most frequent words and else one of ``TAILS`` groups by its last bytes. Exchange clustering
 of the types between ``CLASSES`` classes, on the driver and on the bounded table of adjacent types,
-gives the head words their classes and all others a class to begin with. Then each word beyond the
-head, however many there are, moves to the class that raises the likelihood most, by its counts of
-neighbours of each class: one round of exchange over the whole vocabulary, in parallel, so the moves
-of other such words are not seen. These words stay a distributed table of (word, n, class). The
-class transitions are counted with the classes after it. Only words never seen in training have the
-class of their group.
+gives the head words their classes and all others a class to begin with. Then each word that occurs
+``MIN_COUNT`` times or more, however many such words there are, moves to the class that raises the
+likelihood most, by its counts of neighbours of each class: one round of exchange over that
+vocabulary, in parallel, so the moves of other such words are not seen. Tasks know the words by a
+sorted list of at most ``VOCABULARY`` of them; more are handled in several passes. Only words that
+occur less often, of which a neighbour count says little, and words never seen in training have the
+class of their group. The class transitions are counted with the classes after that.
 
 Emissions use absolute discounting within the class, the discounted mass shared by as many unseen
-words as seen ones; transitions are interpolated with the class frequencies. Words beyond the head
-are looked up by a join with their table, which is never broadcast.
+words as seen ones; transitions are interpolated with the class frequencies. All words, their counts
+and classes are a distributed table. Scoring looks up the most frequent ones, ``VOCABULARY`` at most,
+in a list that is broadcast; all others by a join with the table.
 
 Defined results: a null or empty text is one end token; an empty table gives no rows; without
 training rows every word is unknown; repeated rows are scored (and counted) each; a null doc_id
@@ -34,15 +36,19 @@ from pyspark.sql import functions as F
 
 from strandlog.llm.common import Workspace, _LOWER, mix, small_batches, split_words, text_slices, word_hashes
 
-HEAD, TAILS, CLASSES, ROUNDS = 1200, 300, 96, 6
-#: Rows of words that numpy takes at once.
-WORD_ROWS = 50_000
+HEAD, TAILS, CLASSES, ROUNDS = 2000, 300, 96, 6
+#: Occurrences in training from which on a word's own neighbours decide its class.
+MIN_COUNT = 5
+#: Words that are broadcast together (14 bytes each).
+VOCABULARY = 1_000_000
+#: Words whose neighbour counts make a row.
+BLOCK = 1024
 #: Counts up to this have their likelihoods worked out once for all words.
 TABLED = 16
 #: Weight of the class bigram against the class unigram.
 MIXTURE = 0.98
 #: Distinct words that a task counts before it passes the counts on.
-COUNTED = 1_500_000
+COUNTED = 2_000_000
 END = -0x5DEECE66D1234567
 
 
@@ -196,31 +202,37 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarra
     return cls
 
 
+def _found(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each of h in the sorted words, or -1."""
+    if not len(words):
+        return np.full(len(h), -1)
+    u, inverse = np.unique(h, return_inverse=True)
+    at = np.minimum(np.searchsorted(words, u), len(words) - 1)
+    return np.where(words[at] == u, at, -1)[inverse]
+
+
 def neighbours(docs: DataFrame, shared) -> DataFrame:
-    """(word, tail, entries) of words beyond the head: pairs (code, n) as 64-bit numbers. Codes: the class before, k + the class after, 2k beside itself with the word before or 2k + 1 after. Tasks count before they pass anything on; rows of a word are several."""
+    """(block, cells, counts) of the neighbours of a list of words, BLOCK words a row. A cell is a word's place in its block times 2k + 2 and a code: the class before, k + the class after, 2k beside itself with the word before or 2k + 1 after; cells are kept as differences. Tasks count before they pass anything on; rows of a block are several."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        t, cls = shared.value
+        t, cls, listed = shared.value
         k = int(cls.max()) + 1
         width = 2 * k + 2
         held, size = [], 0
 
         def merged():
-            word, tail, code, n = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((code, word))
-            word, tail, code, n = word[order], tail[order], code[order], n[order]
-            new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (code[1:] != code[:-1])
-            at = np.flatnonzero(new)
-            return word[at], tail[at], code[at], np.add.reduceat(n, at)
-
-        def rows(word, tail, code, n):
-            at = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            offsets = (np.append(at, len(word)) * 16).astype(np.int32)
-            data = np.stack([code, n], 1).astype(np.int64)
-            entries = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            return pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(tail[at].astype(np.int32)), entries], names=["word", "tail", "entries"])
+            key, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return key, np.bincount(inverse, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+
+        def rows(key, n):
+            block = key // (BLOCK * width)
+            at = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            cell = np.diff(key, prepend=0)
+            cell[at] = key[at] - block[at] * BLOCK * width
+            ends = (np.append(at, len(key)) * 4).astype(np.int32)
+            blob = lambda x: pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(x.astype(np.uint32))])
+            return pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int32)), blob(cell), blob(n)], names=["block", "cells", "counts"])
 
         for batch in batches:
             for _, _, buf, offs in text_slices(batch, "text"):
@@ -232,16 +244,14 @@ def neighbours(docs: DataFrame, shared) -> DataFrame:
                 after[-1], after[:-1] = cls[-1], c[1:]
                 same = np.append(False, h[1:] == h[:-1])
                 far = np.flatnonzero(~is_head & (tail >= 0))
+                place = _found(listed, h[far])
+                far, place = far[place >= 0], place[place >= 0]
                 if not len(far):
                     continue
                 left = np.where(same[far], 2 * k, before[far])
                 right = np.where(np.append(same[1:], False)[far], 2 * k + 1, k + after[far])
-                u, inv = np.unique(h[far], return_inverse=True)
-                key, n = np.unique(np.concatenate([inv * width + left, inv * width + right]), return_counts=True)
-                group = np.zeros(len(u), np.int64)
-                group[inv] = tail[far]
-                held.append((u[key // width], group[key // width], key % width, n))
-                size += len(key)
+                held.append(np.unique(np.concatenate([place * width + left, place * width + right]), return_counts=True))
+                size += len(held[-1][0])
                 if size > COUNTED:
                     held = [merged()]
                     size = len(held[0][0])
@@ -251,7 +261,7 @@ def neighbours(docs: DataFrame, shared) -> DataFrame:
         if held:
             yield rows(*merged())
 
-    return docs.select("text").mapInArrow(run, "word long, tail int, entries binary")
+    return docs.select("text").mapInArrow(run, "block int, cells binary, counts binary")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -321,49 +331,36 @@ class Assigner:
         return np.where(gain[np.arange(m), new] > gain[at_old] + 1e-9, new, old)
 
 
-def assign(found: DataFrame, shared, grid: np.ndarray) -> DataFrame:
-    """(word, n, class) of every word of neighbours()."""
+def assign(found: DataFrame, shared, tails: np.ndarray, grid: np.ndarray) -> DataFrame:
+    """(word, class) of the listed words that neighbours() counted; tails: the list's tail groups."""
     def run(batches):
-        t, cls = shared.value
+        t, cls, listed = shared.value
         k, a = int(cls.max()) + 1, Assigner(grid)
-        rest: list[tuple] = []
-
-        def rows(word, tail, size, data):
-            code, n = data[:, 0], data[:, 1]
-            new = np.append(True, word[1:] != word[:-1])
-            at = np.flatnonzero(new)
-            of = np.repeat(np.cumsum(new) - 1, size)
-            to = []
-            group = cls[len(t.words) + tail[at]]
-            for i in range(0, len(at), 4096):
-                x, y = np.searchsorted(of, [i, i + 4096])
-                to.append(a.best(of[x:y] - i, code[x:y], n[x:y], group[i : i + 4096]))
-            left = (code < k) | (code == 2 * k)  # every token has one neighbour before it
-            total = np.bincount(of[left], n[left], len(at)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(total), pa.array(np.concatenate(to).astype(np.int32))], names=["word", "n", "class"])
+        width, at = 2 * k + 2, None
+        dense = np.zeros(BLOCK * width, np.int64)
+
+        def flush():
+            words = listed[at * BLOCK : (at + 1) * BLOCK]
+            old = cls[len(t.words) + tails[at * BLOCK : (at + 1) * BLOCK]]
+            cell = np.flatnonzero(dense)
+            new = a.best(cell // width, cell % width, dense[cell], old)
+            dense[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(new.astype(np.int32))], names=["word", "class"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            word, tail = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            blobs = batch.column(2).to_pylist()
-            size = np.array([len(x) // 16 for x in blobs])
-            rest.append((word, tail, size, np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)))
-            if rest[0][0][0] == word[-1]:
-                continue
-            word, tail, size, data = (np.concatenate(x) for x in zip(*rest))
-            cut = np.searchsorted(word, word[-1])  # the last word may go on in the next batch
-            entries = size[:cut].sum()
-            yield rows(word[:cut], tail[:cut], size[:cut], data[:entries])
-            rest = [(word[cut:], tail[cut:], size[cut:], data[entries:])]
-        if rest:
-            yield rows(*(np.concatenate(x) for x in zip(*rest)))
+            for block, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if at is not None and block != at:
+                    yield flush()
+                at = block
+                dense[np.cumsum(np.frombuffer(cells, np.uint32), dtype=np.int64)] += np.frombuffer(counts, np.uint32)  # a row's cells differ
+        if at is not None:
+            yield flush()
 
-    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, n long, class int")
+    return found.repartition("block").sortWithinPartitions("block").mapInArrow(run, "word long, class int")
 
 
 class Model:
-    """What scoring broadcasts; its size depends on HEAD, TAILS and CLASSES only."""
+    """What scoring broadcasts; its size is bounded by HEAD, TAILS, CLASSES and VOCABULARY."""
 
     def __init__(self, types: Types, cls: np.ndarray, pairs: np.ndarray, head_counts: np.ndarray, by_class: dict[int, tuple[int, int, int, int]], total: int, distinct: int):
         self.types, self.cls, self.total, self.distinct, self.head_counts = types, cls, total, distinct, head_counts
@@ -385,30 +382,41 @@ class Model:
         lam = np.where(rows > 0, MIXTURE, 0.0)
         self.transition = np.log10(lam * bigram + (1 - lam) * unigram[None, :])
 
+    def list_words(self, lexicon: DataFrame, most: int) -> None:
+        """Takes the most frequent words, at most so many: all above a count, in steps of an eighth of its binary logarithm."""
+        step = F.floor(F.log2("n") * 8)
+        left, least = most, None
+        for r in lexicon.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 512 rows
+            left -= r["count"]
+            if left < 0:
+                break
+            least = r["step"]
+        got = lexicon.where(step >= least if least is not None else F.lit(False)).toArrow()
+        order = np.argsort(got["word"].to_numpy())
+        self.words, self.counts, self.classes = got["word"].to_numpy()[order], got["n"].to_numpy()[order], got["class"].to_numpy()[order].astype(np.int16)
+
     def emission(self, c: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log10 P(word | class) of words with count n; of unseen ones as many are assumed as of seen ones."""
         top = np.where(n > 0, n - self.discount[c], self.discount[c])
         return np.log10(top / np.maximum(1, self.tokens[c] + (self.seen[c] == 0)))
 
 
-def beyond_head(docs: DataFrame, ws: Workspace, types: Types, cls: np.ndarray, grid: np.ndarray) -> DataFrame:
-    """(word, n, class) of all words beyond the head."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((types, cls))
-    found = ws.write(neighbours(docs, shared), "neighbours")
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = spark.conf.get(key)
-    spark.conf.set(key, str(WORD_ROWS))  # rows of words are short
-    try:
-        far = ws.write(assign(found, shared, grid), "far")
-    finally:
-        spark.conf.set(key, rows)
-    ws.drop("neighbours")
-    return far
-
-
-def train(docs: DataFrame, ws: Workspace, head: int = HEAD, tails: int = TAILS, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model of bounded size, and the table of the other words (word, n, class); transitions are those of the types until use()."""
+def listed_words(counts: DataFrame, types: Types, min_count: int, vocabulary: int):
+    """The words beyond the head that occur min_count times or more, and their tail groups, in sorted lists of about ``vocabulary`` words or fewer."""
+    spark = counts.sparkSession
+    often = counts.where((F.col("tail") >= 0) & (F.col("n") >= min_count))
+    head = spark.createDataFrame([(int(w),) for w in types.words], "word long")
+    often = often.join(F.broadcast(head), "word", "left_anti")  # at most HEAD rows
+    lists = max(1, -(-often.count() // vocabulary))
+    for i in range(lists):
+        part = often.where(F.pmod(F.xxhash64("word"), F.lit(lists)) == i) if lists > 1 else often
+        got = part.select("word", "tail").toArrow()
+        order = np.argsort(got["word"].to_numpy())
+        yield got["word"].to_numpy()[order], got["tail"].to_numpy()[order]
+
+
+def train(docs: DataFrame, ws: Workspace, head: int = HEAD, tails: int = TAILS, classes: int = CLASSES, min_count: int = MIN_COUNT, vocabulary: int = VOCABULARY) -> tuple[Model, DataFrame]:
+    """The model of bounded size, and the table of all words (word, n, class); transitions are those of the types until use()."""
     spark = docs.sparkSession
     counts = ws.write(word_counts(docs, tails), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -420,21 +428,27 @@ def train(docs: DataFrame, ws: Workspace, head: int = HEAD, tails: int = TAILS,
     pairs[found["left"].to_numpy(), found["right"].to_numpy()] = found["n"].to_numpy()
     del found
     cls = exchange(pairs, classes)
-    k = int(cls.max()) + 1
-    one = np.eye(k)[cls]
-    far = beyond_head(docs, ws, types, cls, one.T @ pairs @ one)
+    one = np.eye(int(cls.max()) + 1)[cls]
+    grid = one.T @ pairs @ one
+    moved = spark.createDataFrame([(r["word"], int(c)) for r, c in zip(top, cls)], "word long, class int")
+    for i, (words, groups) in enumerate(listed_words(counts, types, min_count, vocabulary)):
+        listed = spark.sparkContext.broadcast((types, cls, words))
+        found = ws.write(neighbours(docs, listed), f"neighbours-{i}")
+        moved = moved.union(ws.write(assign(found, listed, groups, grid), f"moved-{i}"))
+        ws.drop(f"neighbours-{i}")
+    of_group = F.element_at(F.array(*[F.lit(int(c)) for c in cls[len(top) : len(top) + tails]]), F.col("tail") + 1)
+    lexicon = ws.write(counts.where("tail >= 0").join(moved, "word", "left").select("word", "n", F.coalesce("class", of_group).alias("class")), "lexicon")
     sums = [F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")]
-    by_class = {r["class"]: [r["n"], r["v"], r["n1"], r["n2"]] for r in far.groupBy("class").agg(*sums).collect()}
-    for r, c in zip(top, cls):
-        x = by_class.setdefault(int(c), [0, 0, 0, 0])
-        for i, more in enumerate((r["n"], 1, r["n"] == 1, r["n"] == 2)):
-            x[i] += int(more)
+    by_class = {r["class"]: (r["n"], r["v"], r["n1"], r["n2"]) for r in lexicon.groupBy("class").agg(*sums).collect()}
     ends = counts.where("tail < 0").agg(F.sum("n")).first()[0] or 0
-    by_class[int(cls[-1])] = [ends, 1 if ends else 0, 0, 0]
-    return Model(types, cls, pairs, np.array([r["n"] for r in top], np.int64), by_class, total, distinct), far
+    by_class[int(cls[-1])] = (ends, 1 if ends else 0, 0, 0)
+    ws.drop("counts")
+    model = Model(types, cls, pairs, np.array([r["n"] for r in top], np.int64), by_class, total, distinct)
+    model.list_words(lexicon, vocabulary)
+    return model, lexicon
 
 
-def resolve(docs: DataFrame, shared, far: DataFrame) -> DataFrame:
+def resolve(docs: DataFrame, shared, lexicon: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, emitted and the classes of all tokens (16-bit numbers) of every row."""
     small_batches(docs.sparkSession)
     schema = "doc_id long, part int, row long, word long, places binary, classes binary, known long, base double, emitted double"
@@ -447,14 +461,15 @@ def resolve(docs: DataFrame, shared, far: DataFrame) -> DataFrame:
             ids = batch.column(0)
             for i, j, buf, offs in text_slices(batch, "text"):
                 h, tail, first = _tokens(buf, offs, t.tails)
-                types, is_head = t.of(h, tail)
-                c = m.cls[types]
+                place = _found(m.words, h)
+                listed, is_end = place >= 0, tail < 0
+                c = m.cls[np.where(is_end, t.n - 1, len(t.words) + tail)]
+                c[listed] = m.classes[place[listed]]
                 of = np.repeat(np.arange(j - i), np.diff(first))
-                is_end = tail < 0
                 count = np.zeros(len(h))
-                count[is_head] = m.head_counts[types[is_head]]
+                count[listed] = m.counts[place[listed]]
                 count[is_end] = ends
-                here = is_head | is_end
+                here = listed | is_end
                 emitted = np.zeros(len(h))
                 emitted[here] = m.emission(c[here], count[here])
                 far_at = np.flatnonzero(~here)
@@ -477,7 +492,7 @@ def resolve(docs: DataFrame, shared, far: DataFrame) -> DataFrame:
             row0 += batch.num_rows
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-    joined = rows.join(far.select("word", F.col("n").alias("c"), F.col("class").alias("to")), "word", "left")
+    joined = rows.join(lexicon.select("word", F.col("n").alias("c"), F.col("class").alias("to")), "word", "left")
     word = F.struct("places", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("to", F.lit(-1)).alias("to"))
     docs_ = joined.groupBy("doc_id", "part", "row").agg(
         F.max("classes").alias("classes"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("emitted").alias("emitted"), F.collect_list(F.when(F.col("places").isNotNull(), word)).alias("words"))
@@ -543,8 +558,8 @@ def score(docs: DataFrame, **sizes) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row, trained on the rows not held out."""
     spark = docs.sparkSession
     ws = Workspace(spark, "class-lm")
-    model, far = train(docs.where(~held_out(F.col("doc_id"))), ws, **sizes)
-    resolved = ws.write(resolve(docs, spark.sparkContext.broadcast(model), far), "resolved")
+    model, lexicon = train(docs.where(~held_out(F.col("doc_id"))), ws, **sizes)
+    resolved = ws.write(resolve(docs, spark.sparkContext.broadcast(model), lexicon), "resolved")
     k = len(model.grid)
     model.use(class_pairs(resolved.where(~held_out(F.col("doc_id"))), k))
     transition = model.transition

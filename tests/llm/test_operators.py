@@ -69,6 +69,9 @@ def test_jaccard_hot_group(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     rng.shuffle(rows)
     monkeypatch.setattr(jaccard_join, "BUCKET", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "FAN", 2)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 5)
     monkeypatch.setattr(jaccard_join, "LEAF", 4)
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=repr) == linked(rows, 4, 85, 100)
@@ -101,18 +104,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), ws, "e").count() == 0
 
 
-def test_one_of_each(odd, odd_docs):
-    kept = jaccard_join.one_of_each(odd_docs, 5, 4, 5)
-    assert kept.columns == odd_docs.columns
+def test_one_of_each(odd, clashing, no_docs):
+    kept = jaccard_join.one_of_each(clashing, 5, 4, 5)
+    assert kept.columns == clashing.columns
     component = {i: c for i, _, c in linked(odd, 5, 4, 5)}
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((r[0] for r in odd if r[0] is None or component[r[0]] == r[0]), key=repr)
+    rows = kept.collect()
+    assert sorted((r["doc_id"] for r in rows), key=repr) == sorted((r[0] for r in odd if r[0] is None or component[r[0]] == r[0]), key=repr)
+    assert all(r["node"] == r["n"] == r["key"] == "clash" for r in rows)
+    assert jaccard_join.one_of_each(no_docs).count() == 0
 
 
 # ---- 2
 
 
-def test_class_lm_counts(odd, odd_docs):
-    got = class_lm.score(odd_docs, head=20, tails=8, classes=4).collect()
+@pytest.mark.parametrize("vocabulary", [1_000_000, 10])
+def test_class_lm_counts(odd, clashing, vocabulary):
+    got = class_lm.score(clashing, head=20, tails=8, classes=4, vocabulary=vocabulary).collect()
     out = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
     toks = lambda t: low(t).encode().split() + [None]
     counts = Counter(w for r in odd if not out(r[0]) for w in toks(r[1]))
@@ -181,16 +188,63 @@ def test_words_beyond_the_head_move_as_exchange_moves_them():
         assert np.isclose(tried[got], max(tried))
 
 
-def test_every_word_has_a_class_by_its_neighbours(spark):
-    """Words beyond the head that share their last bytes, but not their neighbours, part; each keeps its count."""
+@pytest.mark.parametrize("vocabulary", [1000, 30])
+def test_every_word_has_a_class_by_its_neighbours(spark, vocabulary):
+    """Words beyond the head that share their last bytes, but not their neighbours, part; each keeps its count, however few are listed at once."""
     rows = [(i, f"the x{i % 40}ing of a y{i % 40}ing in" * 3) for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    _, far = class_lm.train(docs, Workspace(spark, "t"), head=4, tails=1, classes=4)
-    found = far.collect()
+    model, lexicon = class_lm.train(docs, Workspace(spark, "t"), head=4, tails=1, classes=4, vocabulary=vocabulary)
+    found = lexicon.collect()
     counts = Counter(w for _, t in rows for w in t.split())
-    head = {w for w, _ in counts.most_common(4)}
-    assert sorted(r["n"] for r in found) == sorted(n for w, n in counts.items() if w not in head)
-    assert len({r["class"] for r in found}) > 1
+    assert sorted(r["n"] for r in found) == sorted(counts.values())
+    least = sorted(counts.values())[-4]
+    assert len({r["class"] for r in found if r["n"] <= least}) > 1
+    assert len(model.words) <= vocabulary and len({r["word"] for r in found}) == len(found)
+
+
+def test_class_lm_score_by_brute_force(spark):
+    """The score of every row from the model's classes, counts and formula, token by token in Python; few words listed, so most come by the join."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40), p=np.arange(60, 0, -1) / 1830))) for i in range(120)] + [(500, "new words w1 only"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
+    sizes = dict(head=10, tails=3, classes=4, min_count=3, vocabulary=20)
+    got = {r["doc_id"]: r["score"] for r in class_lm.score(docs, **sizes).collect()}
+    model, lexicon = class_lm.train(docs.where(~class_lm.held_out(F.col("doc_id"))), Workspace(spark, "t"), **sizes)
+    table = {r["word"]: (r["n"], r["class"]) for r in lexicon.collect()}
+    k, t = len(model.grid), model.types
+
+    def tokens_of(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        h, tail, _ = class_lm._tokens(raw, np.array([0, len(raw)]), t.tails)
+        return [(table.get(w, (0, int(model.cls[len(t.words) + g]))) if g >= 0 else (sum(not out(i) for i, _ in rows), k - 1)) for w, g in zip(h.tolist(), tail.tolist())]
+
+    coded = {i: tokens_of(x) for i, x in rows}
+    grid = np.zeros((k, k))
+    seen = defaultdict(set)
+    for i, toks in coded.items():
+        if not out(i):
+            for a, b in zip([k - 1] + [c for _, c in toks], [c for _, c in toks]):
+                grid[a, b] += 1
+    for w, (n, c) in table.items():
+        seen[c].add((w, n))
+    unigram = (grid.sum(0) + 0.5) / (grid.sum() + 0.5 * k)
+
+    def emission(n, c):
+        members = [m for _, m in seen[c]] if c < k - 1 else [sum(not out(i) for i, _ in rows)]
+        ones, twos = members.count(1), members.count(2)
+        discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones and c < k - 1 else 0.05 if members else 0.5
+        return math.log10((n - discount if n else discount) / max(1, sum(members) + (not members)))
+
+    for i, toks in coded.items():
+        want, last = 0.0, k - 1
+        for n, c in toks:
+            row = grid[last].sum()
+            lam = class_lm.MIXTURE if row else 0.0
+            want += math.log10(lam * (grid[last, c] / row if row else 0) + (1 - lam) * unigram[c]) + emission(n, c)
+            last = c
+        assert abs(got[i] - want) < 1e-6
 
 
 # ---- 3 and 8
@@ -312,8 +366,14 @@ def test_exact(odd, odd_docs, clashing, no_docs, monkeypatch, broadcast):
     for docs in (odd_docs, clashing):
         got = exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept").collect()
         assert sorted(map(tuple, got), key=repr) == want
-    kept = exact_dedup.drop_copies(odd_docs)
-    assert kept.columns == odd_docs.columns and kept.count() == sum(w[3] for w in want)
+    for docs in (odd_docs, clashing.withColumn("_own0", F.lit("own")).withColumn("__full", F.lit("own"))):
+        kept = exact_dedup.drop_copies(docs)
+        rows = kept.collect()
+        assert kept.columns == docs.columns and len(rows) == sum(w[3] for w in want)
+        assert docs is odd_docs or all(r["kept"] == r["keep_id"] == r["group_size"] == "clash" and r["_own0"] == r["__full"] == "own" for r in rows)
+    shas = {(r["doc_id"], r["text_sha256"]) for r in exact_dedup.exact_groups(odd_docs).collect()}
+    assert shas == {(r[0], hashlib.sha256(low(r[1]).encode()).hexdigest()) for r in odd}
+    assert exact_dedup.drop_copies(no_docs).count() == 0
     assert exact_dedup.exact_groups(no_docs).count() == 0
 
 
