@@ -12,7 +12,8 @@ Points of ordinary texts spread over all coordinates, so one tree over a whole c
 compare nearly all nodes. Which points share a tree is therefore decided first, without loss: of a
 set of n hashes, ordered by rising frequency (a count sketch over all documents, by which only
 speed depends) and hash, two linked sets share one of the first n - ceil(t n) + 1. Keys are counted
-first, and only those held by several sets go on; each makes a bucket, and its points a tree.
+first, and only those held by several sets go on; each makes a bucket, one bucket of those with the
+same members is kept, and its points make a tree.
 
 Links are needed for components only, so groups of near copies are not expanded into all pairs.
 Trees are joined in three rounds, each of which looks only for pairs in different components of the
@@ -346,6 +347,13 @@ def _bucket_pairs(rows: DataFrame, num: int, den: int, nearest: bool) -> DataFra
     return found.select("a", "b").distinct()
 
 
+def _distinct_buckets(shared: DataFrame) -> DataFrame:
+    """The rows (key, node, n) of one bucket of each set of members: near copies share many keys, and equal buckets have equal trees. Members are compared by their number, their ends and 128 bits of hashes."""
+    named = shared.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "node")).alias("y"))
+    kept = named.where("low < high").groupBy("c", "low", "high", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return shared.join(kept, "key", "left_semi")
+
+
 def _dealt(shared: DataFrame, points: DataFrame, roots: DataFrame | None, step: str, ws: Workspace) -> DataFrame:
     """The rows of the trees of a round: those of buckets whose sets are not all in one component yet, by (key, i, j)."""
     placed = shared.withColumn("root", F.col("node"))
@@ -377,7 +385,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     rows = prefixes.where("key is not null").select("key", "node", "n")
     # keys are counted alone, so that what is shuffled of most rows is a key and a count
     company = ws.write(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "company")
-    shared = ws.write(rows.join(_if_few(company), "key").distinct(), "shared")
+    held = ws.write(rows.join(_if_few(company), "key").distinct(), "held")
+    shared = ws.write(_distinct_buckets(held), "shared")
+    ws.drop("held")
     need = shared.select("node").distinct()
     points = ws.write(prefixes.where("key is null").select("node", "n", "point").join(need, "node", "left_semi").dropDuplicates(["node"]), "points")
     ws.drop("prefixes")
