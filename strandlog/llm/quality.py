@@ -7,13 +7,17 @@ the whole text minimises the non-negative unbiased risk
     pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))
 
 with the logistic loss. The class prior pi is estimated as the share of label 1 among the
-labelled training rows. Both training sets are bounded samples of at most ``sample`` rows each,
-drawn by the hash of doc_id; every text is read once, for its statistics, and scored.
+labelled training rows. Only the labelled rows are a bounded sample, of at most ``sample`` positives,
+drawn by the hash of doc_id. A first fit on the driver, with as many unlabelled rows, gives weights to
+begin with; ``PASSES`` steps then lower the risk over all unlabelled rows, whose sums of gradients are
+made on the executors. Every text is read once for its statistics, which are kept in scratch space.
 
 Inputs of a score are the text only. Defined results: null and empty texts have the statistics
 0 and get a score like any other; an empty table gives no rows; without labelled positives all
-scores are the prior ``default_prior``; repeated rows are scored each; null ids hash as the empty
-text; columns with clashing names are dropped in favour of the results.
+scores are the prior ``default_prior`` (so they are where no row is labelled, whatever the texts);
+repeated rows are scored each; null ids hash as the empty text; of equal hashes in the sample's order
+the smaller doc_id comes first, and a doc_id that stands for several texts may bring any of them;
+score drops input columns called as its results, keep_good carries all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from strandlog.llm.common import Workspace, _SPACE, replace_columns, small_batches, split_words, text_slices, word_hashes
+from strandlog.llm.common import Workspace, _SPACE, free_names, small_batches, split_words, text_slices, word_hashes
 
-#: Rows of each of the two training sets, at most.
+#: Labelled rows, at most, and unlabelled ones of the first fit.
 SAMPLE = 10_000
+#: Steps over all unlabelled rows.
+PASSES = 12
 FEATURES = 24
 
 
@@ -142,8 +149,60 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == 0
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, default_prior: float = 0.5) -> DataFrame:
-    """The rows of docs with held_out, score and predicted beside their own columns."""
+def _forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = (x - w["mean"]) / w["scale"]
+    h = np.tanh(x @ w["a"] + w["b"])
+    return x, h, h @ w["c"] + w["d"]
+
+
+def _sums(w: dict[str, np.ndarray], x: np.ndarray, up: bool) -> np.ndarray:
+    """Of log(1 + exp(z)) (up) or log(1 + exp(-z)) over all rows: the sum, and those of its gradients by a, b, c and d."""
+    x, h, z = _forward(w, x)
+    sign = 1 if up else -1
+    g = sign / (1 + np.exp(-sign * np.clip(z, -40, 40)))
+    back = np.outer(g, w["c"]) * (1 - h**2)
+    return np.concatenate([[np.logaddexp(0, sign * z).sum()], (x.T @ back).ravel(), back.sum(0), h.T @ g, [g.sum()]])
+
+
+def refine(w: dict[str, np.ndarray], positive: np.ndarray, seen: DataFrame, prior: float, passes: int) -> dict[str, np.ndarray]:
+    """Steps of Adam on the risk over the trusted positives and all rows (x) of seen; the driver gets one sum for each weight."""
+    spark, shape = seen.sparkSession, {k: w[k].shape for k in "abcd"}
+    m = v = 0.0
+    for step in range(1, passes + 1):
+        shared = spark.sparkContext.broadcast(w)
+
+        def run(batches, shared=shared):
+            total, n = 0.0, 0
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES).astype(float)
+                total, n = total + _sums(shared.value, x, True), n + len(x)
+            if n:
+                both = np.append(total, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both))), pa.array(both)], names=["i", "s"])
+
+        rows = seen.select("x").mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()
+        shared.unpersist()
+        if not rows:
+            return w
+        u = np.array([r["s"] for r in rows])
+        u = u[:-1] / u[-1]
+        against, toward = _sums(w, positive, True) / len(positive), _sums(w, positive, False) / len(positive)
+        if u[0] - prior * against[0] >= 0:
+            g = prior * toward[1:] + u[1:] - prior * against[1:]
+        else:  # the bracket is negative: back up it
+            g = prior * against[1:] - u[1:]
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        move = 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w, at = dict(w), 0
+        for k in "abcd":
+            size = int(np.prod(shape[k]))
+            w[k] = w[k] - move[at : at + size].reshape(shape[k])
+            at += size
+    return w
+
+
+def _learn(docs: DataFrame, labels: DataFrame, sample: int, default_prior: float, passes: int) -> tuple[DataFrame, dict | None, float]:
+    """(doc_id, x) of every row, the weights (none without positives), and the prior."""
     spark = docs.sparkSession
     small_batches(spark)
     ws = Workspace(spark, "quality")
@@ -165,9 +224,27 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: in
     chosen = by_hash(trusted.where("quality = 1").select("doc_id").distinct())
     matrix = lambda df: np.array([r["x"] for r in df.select("x").toLocalIterator()], float).reshape(-1, FEATURES)  # noqa: E731  bounded by `sample`
     unlabelled, positive = matrix(by_hash(seen.where(learn))), matrix(seen.join(F.broadcast(chosen), "doc_id").limit(sample))
-    w = fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else None
+    if not len(positive) or not len(unlabelled):
+        return seen, None, prior
+    return seen, refine(fit(positive, unlabelled, prior), positive, seen.where(learn), prior, passes), prior
+
 
-    names = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
+def score_ids(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, default_prior: float = 0.5, passes: int = PASSES) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row, from the statistics that were kept: texts are read once."""
+    seen, w, prior = _learn(docs, labels, sample, default_prior, passes)
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, prior) if w is None else apply_model(w, x))], names=["doc_id", "score"])
+
+    scored = seen.mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _with_score(docs: DataFrame, labels: DataFrame, name: str, sample: int, default_prior: float, passes: int) -> DataFrame:
+    """All columns of docs and the score under a name that docs does not have."""
+    _, w, prior = _learn(docs, labels, sample, default_prior, passes)
 
     def run(batches):
         for batch in batches:
@@ -175,13 +252,19 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: in
             if w is not None:
                 for i, j, buf, offs in text_slices(batch):
                     out[i:j] = apply_model(w, features(buf, offs).astype(np.float32))
-            yield replace_columns(batch, names, {"score": pa.array(out)})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in names]).schema)
-    scored = docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, f"{fields}, score double")
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, default_prior: float = 0.5, passes: int = PASSES) -> DataFrame:
+    """The rows of docs with held_out, score and predicted beside their own columns."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("held_out", "score", "predicted")])
+    scored = _with_score(docs, labels, "score", sample, default_prior, passes)
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows that the classifier accepts, with the columns of docs."""
-    return score(docs, labels, threshold).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, passes: int = PASSES) -> DataFrame:
+    """The rows that the classifier accepts, with all columns of docs."""
+    name = free_names(docs, 1)[0]
+    return _with_score(docs, labels, name, SAMPLE, 0.5, passes).where(F.col(name) >= threshold).drop(name)
