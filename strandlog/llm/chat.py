@@ -73,6 +73,16 @@ def parse(formatted: Column) -> Column:
         unescape(c.substr(F.length(F.substring_index(c, COLON, 1)) + len(COLON) + 1, F.char_length(c))).alias("text")))
 
 
+def replies(formatted: DataFrame, *keys: str) -> DataFrame:
+    """The keys of each conversation and loss: the text under the masks of its examples as ``expand`` makes them, unescaped, in order; without examples empty."""
+    own = [F.col(k) for k in keys]
+    examples = formatted.select(*own, "formatted", F.explode_outer("examples").alias("e"))
+    text = F.expr("substring(formatted, 1, int(e.stop))")
+    reply = unescape(F.substring(text, (F.col("e.loss_start") + 1).cast("int"), (F.col("e.loss_stop") - F.col("e.loss_start")).cast("int")))
+    rows = examples.select(*own, F.when(F.col("e").isNotNull(), F.struct(F.col("e.turn_no"), reply.alias("reply"))).alias("r"))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["reply"]), "").alias("loss"))
+
+
 def masked_text(formatted: Column, examples: Column) -> Column:
     """All text under the loss masks, unescaped, in order."""
     return F.array_join(F.transform(examples, lambda e: unescape(F.substring(formatted, (e["loss_start"] + 1).cast("int"), (e["loss_stop"] - e["loss_start"]).cast("int")))), "")

@@ -2,7 +2,8 @@
 
 Texts are sets of hashed k-word shingles (A-Z lower-cased). A document leaks an item when it
 contains at least ``num/den`` of the item's shingles. Items are partitioned by the power of two
-of their size; an item of n shingles is indexed under its t = n - ceil(n*num/den) + 1 smallest
+of their size, each partition with an index of its own, and a text is searched only in the
+partitions whose items can fit into it; an item of n shingles is indexed under its t = n - ceil(n*num/den) + 1 smallest
 hashes, its bottom-t MinHash sketch, so a document that holds enough of the item cannot miss all
 of them: the search has recall 1. Candidates are then verified by exact shingle containment.
 
@@ -13,7 +14,8 @@ Defined results: items and documents without words match nothing; a text of fewe
 is one shingle, its whole sequence; an item that short can only match a document that is that
 sequence. Null texts are empty; null item ids are kept; repeated items give repeated pairs with
 their own ids (equal rows once); repeated documents are reported each; an empty benchmark or
-empty documents give no pairs.
+empty documents give no pairs; in drop_leaks each repeated row is kept or dropped for itself, and
+further columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,25 +33,27 @@ from strandlog.llm.common import shingle_hashes, shingle_sets, small_batches, sp
 BLOCK = 2_000_000
 
 
+class Partition:
+    """The sketches of the items of one size: sorted hashes, and the items that have each in their sketch."""
+
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], which: np.ndarray, need: np.ndarray):
+        sketches = [items[i][1][: len(items[i][1]) - need[i] + 1] for i in which]
+        keys, owners = np.concatenate(sketches), np.repeat(which, [len(s) for s in sketches])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners, self.least = keys[order], owners[order], int(need[which].min())
+        self.distinct = np.unique(self.keys)
+
+
 class Index:
-    """Sketches of a block of items: sorted hashes and, for each, the items that have it in their sketch."""
+    """Sketches of a block of items, by partitions of item size."""
 
     def __init__(self, items: list[tuple[int | None, np.ndarray]], num: int, den: int):
         self.items = [i for i in items if len(i[1])]
-        keys, owners, self.need = [], [], np.zeros(len(self.items), np.int64)
-        self.partition = np.array([len(s).bit_length() for _, s in self.items], np.int64)
-        for p in np.unique(self.partition):
-            for i in np.flatnonzero(self.partition == p):
-                shingles = self.items[i][1]
-                self.need[i] = -(-len(shingles) * num // den)
-                sketch = shingles[: len(shingles) - self.need[i] + 1]
-                keys.append(sketch)
-                owners.append(np.full(len(sketch), i))
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        order = np.argsort(key, kind="stable")
-        self.keys, self.owners = key[order], owner[order]
-        self.distinct = np.unique(self.keys)
+        size = np.array([len(s) for _, s in self.items], np.int64)
+        self.need = -(-size * num // den)
+        step = np.array([int(n).bit_length() for n in size], np.int64)
+        self.partitions = [Partition(self.items, np.flatnonzero(step == p), self.need) for p in np.unique(step)]
+        self.distinct = np.unique(np.concatenate([p.distinct for p in self.partitions])) if self.partitions else np.zeros(0, np.uint64)
         self.marks = np.zeros(1 << 22, bool)
         self.marks[self._slot(self.distinct)] = True
 
@@ -73,27 +77,35 @@ class Index:
 
     def search(self, shingles: np.ndarray) -> Iterator[tuple[int, int]]:
         """(item, shared shingles) of every item that these distinct sorted shingles contain far enough."""
-        if not len(self.distinct) or not len(shingles):
-            return
-        at = np.minimum(np.searchsorted(shingles, self.distinct), len(shingles) - 1)
-        hit = self.distinct[shingles[at] == self.distinct]
-        if not len(hit):
-            return
-        lo, hi = np.searchsorted(self.keys, hit, "left"), np.searchsorted(self.keys, hit, "right")
-        for i in np.unique(np.concatenate([self.owners[a:b] for a, b in zip(lo, hi)])):
-            item = self.items[i][1]
-            at = np.minimum(np.searchsorted(shingles, item), len(shingles) - 1)
-            shared = int((shingles[at] == item).sum())
-            if shared >= self.need[i]:
-                yield int(i), shared
+        for p in self.partitions if len(shingles) else ():
+            if p.least > len(shingles):  # no item of this size fits into so short a text, nor does a larger one
+                return
+            at = np.minimum(np.searchsorted(shingles, p.distinct), len(shingles) - 1)
+            hit = p.distinct[shingles[at] == p.distinct]
+            if not len(hit):
+                continue
+            lo, hi = np.searchsorted(p.keys, hit, "left"), np.searchsorted(p.keys, hit, "right")
+            for i in np.unique(np.concatenate([p.owners[a:b] for a, b in zip(lo, hi)])):
+                item = self.items[i][1]
+                at = np.minimum(np.searchsorted(shingles, item), len(shingles) - 1)
+                shared = int((shingles[at] == item).sum())
+                if shared >= self.need[i]:
+                    yield int(i), shared
 
 
 def blocks(benchmark: DataFrame, k: int, block: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
-    """Items with their shingles, streamed to the driver one partition at a time, in blocks of bounded size."""
+    """Items with their shingles, made on the executors and streamed to the driver one partition at a time, in blocks of bounded size."""
+    small_batches(benchmark.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            sets = [s.tobytes() for _, _, buf, offs in text_slices(batch) for s in shingle_sets(buf, offs, k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["item_id", "shingles"])
+
     now, size = [], 0
-    for row in benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().toLocalIterator():
-        raw = np.frombuffer(row["text"].encode(), np.uint8)
-        shingles = shingle_sets(raw, np.array([0, len(raw)]), k)[0]
+    rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    for row in rows.mapInArrow(run, "item_id long, shingles binary").toLocalIterator():
+        shingles = np.frombuffer(row["shingles"], np.uint64)
         now.append((row["item_id"], shingles))
         size += len(shingles)
         if size >= block:

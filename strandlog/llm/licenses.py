@@ -5,8 +5,9 @@ template are anchors; the longest increasing subsequence of their places is kept
 between anchors are aligned in the same way, after common words at their borders. A template's
 coverage is the share of its words that are aligned.
 
-A license stands together, so a template of n words is aligned with windows of 2n words, one from
-every word of the text. Windows that hold too few of the template's words to reach the threshold, or
+A template is aligned with the whole text. As a word that a text repeats elsewhere is no anchor then,
+a template of n words is also aligned with windows of 2n words, one from every word of the text, and
+the best of all these alignments counts, of equal ones the first. Windows that hold too few of the template's words to reach the threshold, or
 to beat the best window so far, are not aligned, which loses none. The whole text is searched.
 
 Words are lower-cased (A-Z) with marks at their borders taken off. Defined results: null and
@@ -108,8 +109,11 @@ class Scanner:
         for name, t in self.templates.items():
             n, own, need, best = len(t), Counter(t), self.need[name], (0, 0)
             places = [i for i in common if lowered[i] in own]
-            if len({lowered[i] for i in places}) < need - (n - len(own)):
+            if sum((Counter(lowered[i] for i in places) & own).values()) < need:
                 continue
+            whole = align(lowered, t)
+            if whole:
+                best = len(whole), whole[0][0]
             for i, p in enumerate(places[: max(0, len(places) - need + 1)]):
                 # starts of the windows whose first word of the template is this one
                 for s in range(max(places[i - 1] + 1 if i else 0, places[i + need - 1] - 2 * n + 1), p + 1):

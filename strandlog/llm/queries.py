@@ -43,11 +43,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = spark.sql("select -7L as conv_id, t.turn, t.role from values (0L, 'user'), (1L, 'assistant') as t(turn, role)").withColumn("text", F.lit(FORGED))
-    out = chat.format_conversations(turns.unionByName(forged)).select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("examples")).alias("loss"))
+    out = chat.format_conversations(turns.unionByName(forged)).withColumn("turns", chat.parse(F.col("formatted")))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
-        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    out = out.select("conv_id", "formatted", "examples", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    out = chat.replies(out, "conv_id", "n_turns", "turns_sha256", "formatted_chars")
+    return out.select("conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.score(docs, table(spark, sf_dir, "labels"), threshold=0.3).select("doc_id", "held_out", "score", "predicted")
+    return quality.score_ids(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

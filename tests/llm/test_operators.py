@@ -401,9 +401,10 @@ def test_leaks(spark, odd, odd_docs, clashing, no_docs, block):
                 want.append((r[0], i, len(need & have), len(need)))
     for docs in (odd_docs, clashing):
         assert sorted(map(tuple, decontamination.leaks(docs, bench, block=block).collect()), key=repr) == sorted(want, key=repr)
-    clean = decontamination.drop_leaks(odd_docs, bench, block=block)
+    clean = decontamination.drop_leaks(clashing, bench, block=block)
     leaking = {w[0] for w in want}
-    assert clean.columns == odd_docs.columns
+    assert clean.columns == clashing.columns and clean.where("n = 'clash' and node = 'clash'").count() == clean.count()
+    assert decontamination.drop_leaks(no_docs, bench).count() == 0
     assert clean.where("doc_id is not null").count() == sum(r[0] is not None and r[0] not in leaking for r in odd)
     assert decontamination.leaks(no_docs, bench).count() == 0
     assert decontamination.leaks(odd_docs, bench.limit(0)).count() == 0
@@ -469,6 +470,7 @@ def test_chat(spark):
         turns.sort()
         assert [tuple(t) for t in read[key]["turns"]] == [t[1:] for t in turns]
         assert read[key]["loss"] == "".join(t[2] for t in turns if t[1] == "assistant")
+    assert {r["conv_id"]: r["loss"] for r in chat.replies(got, "conv_id").collect()} == {k: read[k]["loss"] for k in read}
     examples = chat.expand(got).where("conv_id = 1").orderBy("turn_no").collect()
     assert [e["turn_no"] for e in examples] == [2, 3]
     for e in examples:
@@ -492,14 +494,36 @@ def test_quality(spark, odd_docs, clashing, no_docs):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     right = [r.predicted == int(r.doc_id % 4 > 0) for r in got if r.held_out]
     assert sum(right) >= 0.95 * len(right)
-    kept = quality.keep_good(docs, labels)
-    assert kept.columns == docs.columns and 1150 <= kept.count() <= 1300
+    kept = quality.keep_good(docs.withColumn("score", F.lit("own")).withColumn("held_out", F.lit(7)), labels)
+    assert kept.dtypes == [*docs.dtypes, ("score", "string"), ("held_out", "int")] and 1150 <= kept.count() == kept.where("score = 'own' and held_out = 7").count() <= 1300
+    ids = {r.doc_id: r.score for r in quality.score_ids(docs, labels).collect()}
+    assert all(abs(ids[r.doc_id] - r.score) < 1e-9 for r in got)
     for d in (odd_docs, clashing):
         assert quality.score(d, labels).where("score between 0 and 1").count() == odd_docs.count()
     assert quality.score(no_docs, labels).count() == 0
     assert quality.score(docs, labels.limit(0)).select("score").distinct().count() == 1
 
 
+def test_steps_over_all_rows_lower_the_risk(spark):
+    """The risk over every unlabelled row, by brute force, and the gradient against differences."""
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(1, 1, (200, quality.FEATURES)), rng.normal(0, 2, (900, quality.FEATURES))
+    w = quality.fit(p, u[:100], 0.4, steps=30)
+    seen = spark.createDataFrame([(x,) for x in u.astype(np.float32).tolist()], "x array<float>").repartition(3)
+
+    def risk(w):
+        z = lambda x: quality._forward(w, x)[2]
+        return 0.4 * np.logaddexp(0, -z(p)).mean() + max(0, np.logaddexp(0, z(u)).mean() - 0.4 * np.logaddexp(0, z(p)).mean())
+
+    assert risk(quality.refine(w, p, seen, 0.4, 8)) < risk(w)
+    g = quality._sums(w, u, True)
+    for k, i in (("a", 5), ("b", 2), ("c", 3), ("d", 0)):
+        other, e = {**w, k: w[k].copy()}, 1e-5
+        other[k].ravel()[i] += e
+        at = 1 + i + {"a": 0, "b": w["a"].size, "c": w["a"].size + w["b"].size, "d": w["a"].size + w["b"].size + w["c"].size}[k]
+        assert np.isclose((quality._sums(other, u, True)[0] - g[0]) / e, g[at], rtol=1e-2, atol=1e-2)
+
+
 def test_nonnegative_risk_ignores_labels_of_the_unlabelled():
     rng = np.random.default_rng(0)
     p, n = rng.normal(1.5, 1, (2000, quality.FEATURES)), rng.normal(-1.5, 1, (1000, quality.FEATURES))

@@ -182,8 +182,15 @@ def test_a_notice_is_found_wherever_it_stands(at):
     assert list(licenses.Scanner(licenses.TEMPLATES, 4, 5).scan(text)) == [("MIT", 5, 5, at)]
 
 
-def test_scan_equals_windows_from_every_word():
-    """Brute force: every window of twice the template's length; of equal coverage the first place."""
+@pytest.mark.parametrize("at", [0, 5, 11, 20])
+def test_interleaved_words_are_aligned_over_the_whole_text(at):
+    notice = licenses.TEMPLATES["BSD-3-Clause"].split()
+    text = "w " * at + " x y ".join(notice) + " z" * 30
+    assert list(licenses.Scanner(licenses.TEMPLATES, 4, 5).scan(text)) == [("BSD-3-Clause", 21, 21, at)]
+
+
+def test_scan_equals_the_best_alignment():
+    """Brute force: the whole text and every window of twice the template's length; of equal coverage the first place."""
     import random
     rng = random.Random(3)
     s = licenses.Scanner({"t": "a b c d e", "u": "c a b", "v": "a b a c a d"}, 4, 5)
@@ -191,7 +198,7 @@ def test_scan_equals_windows_from_every_word():
         w = [rng.choice("abcdexyz").encode() for _ in range(rng.randint(0, 40))]
         want = set()
         for name, t in s.templates.items():
-            found = [(-len(f), i + f[0][0]) for i in range(len(w)) if (f := licenses.align(w[i : i + 2 * len(t)], t))]
+            found = [(-len(f), i + f[0][0]) for i, part in [(0, w), *((i, w[i : i + 2 * len(t)]) for i in range(len(w)))] if (f := licenses.align(part, t))]
             k, first = min(found, default=(0, 0))
             if -k >= s.need[name]:
                 want.add((name, -k, len(t), first))
