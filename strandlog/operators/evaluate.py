@@ -67,6 +67,16 @@ def distinct_groups(rows: DataFrame) -> DataFrame:
     return rows.agg(F.countDistinct("event_id").alias("groups"))
 
 
+def with_truth(lines: DataFrame, truth: DataFrame) -> DataFrame:
+    """Line i with truth i; lines and truths beyond the shorter of the two are dropped."""
+    return lines.join(truth, "line_id")
+
+
+def throughput_by_dataset(runs: DataFrame) -> DataFrame:
+    """Each (dataset, logs, seconds, accuracy) with its throughput and latency, the fastest first."""
+    return runs.select("dataset", "logs", "accuracy", F.round(F.col("logs") / F.col("seconds"), 6).alias("throughput"), F.round(1e6 * F.col("seconds") / F.col("logs"), 6).alias("latency_us")).orderBy(F.desc("throughput"), "dataset")
+
+
 def throughput_summary(runs: DataFrame) -> DataFrame:
     """One row over (dataset, logs, seconds, accuracy)."""
     return runs.agg(F.sum("logs").alias("total_logs"), F.round(F.sum("seconds"), 6).alias("total_seconds"), F.round(F.sum("logs") / F.sum("seconds"), 6).alias("overall_throughput"),

@@ -1,12 +1,14 @@
-"""Template matching as one map-only plan: a single regular expression finds the fragments, array expressions score them.
+"""Template matching as one map-only plan: the fragments of a line are found, and its templates scored by them.
+
+Longest matches go through an automaton in Arrow batches, see ``match_templates``.
 
 A line's hits are the non-overlapping leftmost-longest occurrences of all fragments. A template's
 score is the weight of its distinct fragments that were hit over the weight of all its fragments,
 repeats included. The best score at or above the threshold wins; of equal scores the smallest id.
 
-The catalogue is bounded and lives on the driver. It goes into the plan as a constant: a hash
-table of fragments (buckets by CRC-32) with the templates that use each and their share of the
-score. Lines are neither shuffled nor sent to Python, whatever their number.
+The catalogue is bounded and lives on the driver. For the other kinds of matching it goes into the
+plan as a constant: a regular expression of the fragments and a hash table of them (buckets by
+CRC-32) with the templates that use each and their share of the score. Lines are never shuffled.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ SEEDS = (
 )
 
 
+#: Distinct sets of hits whose best template a worker keeps.
+KNOWN_SETS = 100_000
+
+
 @dataclass
 class Template:
     template_id: int
@@ -60,9 +66,7 @@ class Matcher:
     @classmethod
     def from_rows(cls, rows, config: MatcherConfig | None = None, next_id: int | None = None) -> Matcher:
         """A catalogue of exactly these templates, in order of their ids: no seeds."""
-        m = cls(config or MatcherConfig())
-        for r in sorted(rows, key=lambda r: r["template_id"]):
-            m = m.add(Template(r["template_id"], r["pattern"], list(r["variables"] or []), r["example"] or ""))
+        m = cls(config or MatcherConfig()).add_all([Template(r["template_id"], r["pattern"], list(r["variables"] or []), r["example"] or "") for r in sorted(rows, key=lambda r: r["template_id"])])
         m.next_id = max(m.next_id, next_id or 0)
         return m
 
@@ -73,12 +77,18 @@ class Matcher:
 
     def add(self, template: Template) -> Matcher:
         """With a template more, or another in its place; id 0 asks for the next free id."""
-        tid = template.template_id or self.next_id
-        template = Template(tid, template.pattern, list(template.variables), template.example)
-        ids = dict(self.fragment_ids)
-        for f in extract_fragments(template.pattern, self.config.min_fragment_length):
-            ids.setdefault(f, len(ids))
-        return Matcher(self.config, self.templates | {tid: template}, max(self.next_id, tid + 1), ids)
+        return self.add_all([template])
+
+    def add_all(self, templates: list[Template]) -> Matcher:
+        """As add for one after another; the catalogue is copied once."""
+        known, ids, next_id = dict(self.templates), dict(self.fragment_ids), self.next_id
+        for t in templates:
+            tid = t.template_id or next_id
+            known[tid] = Template(tid, t.pattern, list(t.variables), t.example)
+            next_id = max(next_id, tid + 1)
+            for f in extract_fragments(t.pattern, self.config.min_fragment_length):
+                ids.setdefault(f, len(ids))
+        return Matcher(self.config, known, next_id, ids)
 
     def fragments_of(self, template_id: int) -> list[str]:
         return extract_fragments(self.templates[template_id].pattern, self.config.min_fragment_length)
@@ -179,9 +189,58 @@ def best_match(found: Column, matcher: Matcher, threshold: float, weighted: bool
     return F.when((best["score"] >= threshold - 1e-12) & (best["template_id"] >= 0), best)
 
 
+def _scorer(matcher: Matcher):
+    """An Arrow function from lines to (template_id, score): an automaton finds the hits, and each distinct set of hits is scored once by a worker."""
+    by_fragment: dict[str, list[tuple[int, float, float]]] = {}
+    for f, tid, weight, total in matcher.shares():
+        by_fragment.setdefault(f, []).append((tid, weight, total))
+    threshold = matcher.config.fragment_match_threshold - 1e-12
+    state: dict = {}
+
+    def score(found: frozenset[str]) -> tuple[int | None, float | None]:
+        best, most, now, total = None, 0.0, None, 0.0
+        for tid, weight, whole in sorted(e for f in found for e in by_fragment[f]):
+            total = weight if tid != now else total + weight
+            now = tid
+            if total / whole > most + 1e-12:
+                best, most = tid, total / whole
+        return (best, most) if best is not None and most >= threshold else (None, None)
+
+    @F.pandas_udf("template_id long, score double")
+    def run(lines: pd.Series) -> pd.DataFrame:
+        import ahocorasick
+
+        if not state:
+            automaton = ahocorasick.Automaton()
+            for f in by_fragment:
+                automaton.add_word(f, f)
+            automaton.make_automaton()
+            state.update(find=automaton.iter_long, known={})
+        find, known, out = state["find"], state["known"], []
+        for line in lines:
+            found = frozenset([f for _, f in find(line)]) if line else frozenset()
+            got = known.get(found)
+            if got is None:
+                if len(known) > KNOWN_SETS:
+                    known.clear()
+                got = known[found] = score(found)
+            out.append(got)
+        ids, scores = zip(*out) if out else ((), ())
+        return pd.DataFrame({"template_id": pd.array(ids, "Int64"), "score": pd.array(scores, "Float64")})
+
+    return run
+
+
 def match_templates(logs: DataFrame, matcher: Matcher, message: str = "message") -> DataFrame:
-    """logs with template_id (null: no template) and score."""
-    best = best_match(hits(F.col(message), matcher), matcher, matcher.config.fragment_match_threshold)
+    """logs with template_id (null: no template) and score.
+
+    Longest matches are found by an automaton in Arrow batches: measured on one core, expressions that score each line
+    anew take most of the time, while lines have few distinct sets of hits. The other kinds are expressions.
+    """
+    if matcher.config.match_kind == LONGEST and matcher.shares():
+        best = _scorer(matcher)(F.col(message))
+    else:
+        best = best_match(hits(F.col(message), matcher), matcher, matcher.config.fragment_match_threshold)
     return logs.withColumn("__best", best).withColumn("template_id", F.col("__best.template_id")).withColumn("score", F.col("__best.score")).drop("__best")
 
 

@@ -233,17 +233,11 @@ def scan_raw_log(spark, sf_dir):
     return logview.logs(spark, sf_dir).select("line_id", "message", "org_id", "log_stream_id")
 
 
-@query(f"with {LOGS} select a.line_id, a.message as log_line, b.event_id from logs a join (select event_id as line_id, event_type as event_id from events where event_id < 5000) b using (line_id)")
-def positional_join(spark, sf_dir):
-    truth = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 5000").select(F.col("event_id").alias("line_id"), F.col("event_type").alias("event_id"))
-    return logview.logs(spark, sf_dir).select("line_id", F.col("message").alias("log_line")).join(truth, "line_id")
-
-
 @query(f"with {LOGS} select a.line_id, a.message as log_line, b.event_id from logs a join (select event_id as line_id, event_type as event_id from events) b using (line_id)")
-def positional_join_whole(spark, sf_dir):
+def positional_join(spark, sf_dir):
     """Every line with its truth."""
     truth = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("line_id"), F.col("event_type").alias("event_id"))
-    return logview.logs(spark, sf_dir).select("line_id", F.col("message").alias("log_line")).join(truth, "line_id")
+    return evaluate.with_truth(logview.logs(spark, sf_dir).select("line_id", F.col("message").alias("log_line")), truth)
 
 
 @query(f"with {LOGS}, t(event_id, template) as (values ('error', 'T-error'), ('view', 'T-view')) select line_id, logs.event_id, t.template as expected_template from logs left join t on t.event_id = logs.event_id")

@@ -65,8 +65,8 @@ def grow(rows: DataFrame, matcher: Matcher, generators: list[TemplateGenerator],
             return matcher
         tried += [r["signature"] for r in shapes]
         lines = rows.sparkSession.createDataFrame([(r["signature"], r["message"]) for r in shapes], "signature string, message string")
-        for r in generate(lines, generators, "signature").where("rank = 0").orderBy("signature").collect():
-            matcher = matcher.add(Template(0, r["pattern"], list(r["variables"]), ""))
+        made = generate(lines, generators, "signature").where("rank = 0").orderBy("signature").collect()
+        matcher = matcher.add_all([Template(0, r["pattern"], list(r["variables"]), "") for r in made])
         if len(shapes) < limit:
             return matcher
 
@@ -104,12 +104,24 @@ class Ingestion:
                 before = len(self.matcher.templates)
                 self.matcher = grow(rows, self.matcher, self.generators, NEW_TEMPLATES)
                 self.stats["templates_added"] += len(self.matcher.templates) - before
+                self.matcher.dataframe(self.spark).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/catalogue/epoch={epoch}")
             self.stats["batches"] += 1
             self.stats["accepted"] += counts["accepted"]
             self.stats["matched"] += counts["matched"]
         finally:
             rows.unpersist()
 
+    @classmethod
+    def resume(cls, spark: SparkSession, path: str, matcher: Matcher, **kw) -> Ingestion:
+        """Goes on with the catalogue that the last micro-batch left below path, or with ``matcher`` where there is none: ids in stored log rows keep their templates."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/catalogue")
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(folder):
+            epochs = [int(f.getPath().getName().split("=")[1]) for f in files.listStatus(folder) if "=" in f.getPath().getName()]
+            if epochs:
+                matcher = Matcher.from_df(spark.read.parquet(f"{path}/catalogue/epoch={max(epochs)}"), matcher.config)
+        return cls(spark, matcher, path, **kw)
+
     def start(self, requests: DataFrame, checkpoint: str, available_now: bool = False, every: str = "5 seconds", wrap: Callable | None = None) -> StreamingQuery:
         writer = requests.writeStream.foreachBatch(wrap(self.write_batch) if wrap else self.write_batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

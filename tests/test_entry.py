@@ -48,7 +48,7 @@ def test_query_equals_sql(spark, name):
         con = duckdb.connect()
         for t in TABLES:
             con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-        want = con.execute(own.oracle_sql()[name]).fetch_arrow_table()
+        want = con.execute(own.oracle_sql()[name]).to_arrow_table()
         assert sorted((f.name, kind(f.type)) for f in got.schema) == sorted((f.name, kind(f.type)) for f in want.schema)
         assert values(got) == values(want)
 

@@ -123,4 +123,20 @@ def test_positional_join_keeps_every_line(spark):
 
     data = "/root/testdata/sf0.01"
     n = spark.read.parquet(f"{data}/events.parquet").count()
-    assert queries.queries()["positional_join_whole"](spark, data).count() == n == 10_000
+    assert queries.queries()["positional_join"](spark, data).count() == n == 10_000
+
+
+def test_truth_of_another_length(spark):
+    lines = spark.createDataFrame([(i, f"line {i}") for i in range(5)], "line_id long, log_line string")
+    truth = spark.createDataFrame([(i, f"E{i}") for i in range(1, 8)], "line_id long, event_id string")
+    from strandlog.operators import evaluate
+
+    assert sorted(map(tuple, evaluate.with_truth(lines, truth).collect())) == [(i, f"line {i}", f"E{i}") for i in range(1, 5)]
+
+
+def test_throughput_by_dataset(spark):
+    from strandlog.operators import evaluate
+
+    runs = spark.createDataFrame([("a", 100, 2.0, 1.0), ("b", 100, 1.0, 0.5), ("c", 10, 0.2, None)], "dataset string, logs long, seconds double, accuracy double")
+    got = [(r.dataset, r.throughput, r.latency_us) for r in evaluate.throughput_by_dataset(runs).collect()]
+    assert got == [("b", 100.0, 10000.0), ("a", 50.0, 20000.0), ("c", 50.0, 20000.0)]
