@@ -195,18 +195,19 @@ def _by_rank(swept: DataFrame, capacity: int, tasks: int) -> DataFrame | None:
     # levels of the stack: a gap's own, and for pieces those of the gaps that they take, from the top down; below 0: none
     is_gap = F.col("kind") == GAP
     rows = rows.withColumn("low", F.when(is_gap, F.col("after") + F.col("rank")).otherwise(F.col("deep") - F.col("rank") - F.col("n"))).withColumn("high", F.col("low") + F.col("n"))
-    rows = rows.withColumn("block", F.explode(F.expr(f"transform(sequence(if(high <= 0, -1L, greatest(low, 0L) div {width}), if(high <= 0, -1L, (high - 1) div {width})), x -> x)")))
-    # a run's part in a block of levels; the last block of pieces below level 0 holds those without a gap as well
-    first = F.when(F.col("block") < 0, F.col("low")).when(F.col("block") == 0, F.least("low", F.lit(0))).otherwise(F.col("block") * width)
-    x, y = F.greatest("low", first), F.when(F.col("block") < 0, F.col("high")).otherwise(F.least("high", (F.col("block") + 1) * width))
-    rows = rows.withColumn("x", x).withColumn("y", y)
+    # pieces that find no gap at all are left as they are
+    without = rows.where(F.col("high") <= 0).select(F.lit(BELOW).alias("what"), "range", "rank", "size", "kind", "a", "b", "n", "bin", "per_bin", "at")
+    rows = rows.where(F.col("high") > 0).withColumn("block", F.explode(F.expr(f"sequence(greatest(low, 0L) div {width}, (high - 1) div {width})")))
+    # a run's part in a block of levels; pieces below level 0 stay with those of block 0
+    first = F.when(F.col("block") == 0, F.least("low", F.lit(0))).otherwise(F.col("block") * width)
+    rows = rows.withColumn("x", F.greatest("low", first)).withColumn("y", F.least("high", (F.col("block") + 1) * width))
     rows = rows.select("block", "range", "rank", "size", "kind", F.when(is_gap, F.col("a") + F.col("x") - F.col("low")).otherwise(F.col("a")).alias("a"), F.when(is_gap, F.col("b")).otherwise(F.col("b") + F.col("high") - F.col("y")).alias("b"), (F.col("y") - F.col("x")).alias("n"))
     dealt = rows.repartition(tasks, "block").sortWithinPartitions("block", "range", F.desc("kind"), "rank")
 
     def how(runs, _):
         return match_ranks(runs, capacity)
 
-    return _swept(dealt, how)
+    return _swept(dealt, how).union(without)
 
 
 def place(runs: DataFrame, ws: Workspace, capacity: int, tasks: int | None = None) -> DataFrame:
