@@ -31,6 +31,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEED = np.random.default_rng(20240501)
 _TABLE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_OTHER = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
 _SHINGLE_BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -159,13 +160,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, lower-cased A-Z if asked."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, lower-cased A-Z if asked; other: one by another table of bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     power, inverse = _power_tables(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TABLE[_LOWER[buf] if lower else buf] * power[: len(buf)], out=sums[1:])
+    np.cumsum((_OTHER if other else _TABLE)[_LOWER[buf] if lower else buf] * power[: len(buf)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 

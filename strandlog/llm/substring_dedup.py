@@ -9,7 +9,7 @@ runs are compacted when there are too many. A fingerprint is the smallest hash a
 ``size - gram + 1`` word grams of a window: two equal windows have the same one, and a text has
 about one for every 18 words, so the index holds a small part of all windows and still misses
 none. Windows whose fingerprint occurs in another document are then verified: their full
-128-bit hashes are grouped for the smallest doc_id, in the new batch and in those historical
+128-bit hashes (two of 64 bits, from separate hashes of the words) are grouped for the smallest doc_id, in the new batch and in those historical
 documents that share the fingerprint.
 
 Defined results: null and empty texts have no words; rows with a null doc_id have no place in
@@ -20,7 +20,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 import numpy as np
@@ -84,7 +83,7 @@ class FingerprintIndex:
 
     SCHEMA = "fingerprint long, doc_id long"
 
-    def __init__(self, spark: SparkSession, path: str, runs: list[str] | None = None, max_runs: int = 4):
+    def __init__(self, spark: SparkSession, path: str, runs: list[str] | None = None, max_runs: int = 2):
         self.spark, self.path, self.runs, self.max_runs = spark, path, list(runs or []), max_runs
 
     def read(self, runs: list[str] | None = None) -> DataFrame:
@@ -97,7 +96,7 @@ class FingerprintIndex:
         return out
 
     def append(self, rows: DataFrame) -> str:
-        """Writes a new run and compacts if there are too many; the run's rows."""
+        """Writes a new run and gives its path; ``compact`` is the caller's."""
         self.runs.append(self._write(rows))
         return self.runs[-1]
 
@@ -154,7 +153,7 @@ def copied_windows(batch: DataFrame, history: DataFrame | None, index: Fingerpri
                 if not len(low):
                     continue
                 a, _ = shingle_hashes(words, first, size)
-                c, _ = shingle_hashes(words, first, size, salt=1)
+                c, _ = shingle_hashes(word_hashes(buf, starts, ends, False, other=True), first, size, salt=1)
                 for d in range(i, j):
                     s, e = int(first[d - i]), int(first[d - i + 1]) - size + 1
                     if e <= s:
@@ -220,8 +219,8 @@ def remove_copies(docs: DataFrame, copies: DataFrame, size: int = 50) -> DataFra
     return with_copies.union(rest).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def dedup_substrings(docs: DataFrame, size: int = 50, gram: int = 16, batches: int = 2) -> DataFrame:
-    """All documents in batches of ascending ids through one index, then the words that stay."""
+def dedup_substrings(docs: DataFrame, size: int = 50, gram: int = 16, batches: int = 3) -> DataFrame:
+    """All documents in batches of ascending ids through one index, then the words that stay. With three batches the last one is joined with a compacted run."""
     spark = docs.sparkSession
     index = FingerprintIndex(spark, Workspace(spark, "index").path)
     low, high = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
@@ -234,7 +233,6 @@ def dedup_substrings(docs: DataFrame, size: int = 50, gram: int = 16, batches: i
         found = copied_windows(batch, history, index, size, gram)
         copies = found if copies is None else copies.union(found)
         history = batch if history is None else docs.where((F.col("doc_id") >= low) & (F.col("doc_id") < b))
-        if len(index.runs) >= index.max_runs:
+        if len(index.runs) >= index.max_runs and b <= high:  # the next batch reads the compacted run
             index.compact()
-    index.compact()
     return remove_copies(docs, copies, size)
