@@ -61,9 +61,9 @@ def set_name(shingles: np.ndarray) -> int:
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    """Counts of the set's hashes in D groups, as bytes; D is half the set's size or more up to 2048, and grows until every count fits."""
-    d = 16
-    while 2 * d < len(shingles) and d < 2048:
+    """Counts of the set's hashes in D groups, as bytes. D is twice the size of a small set (up to 256), half that of a large one (up to 2048), or more, and grows until every count fits."""
+    d, n = 16, len(shingles)
+    while d < min(2 * n, max(256, n // 2), 2048):
         d *= 2
     while True:
         counts = np.bincount((shingles & np.uint64(d - 1)).astype(np.int64), minlength=d)
