@@ -19,7 +19,9 @@ Links are needed for components only, so groups of near copies are not expanded
 Trees are joined in three rounds, each of which looks only for pairs in different components of the
 links found before: within blocks of ``BLOCK`` points of a bucket, of each point only its nearest
 pair; then among one point of each component in a bucket, again the nearest; and then all pairs
-that are left, buckets over ``BUCKET`` points in blocks, each pair of blocks a tree of its own.
+that are left, buckets over ``BUCKET`` points in blocks, each pair of blocks a tree of its own. A tree
+that has more pairs than points there, as of many texts just below the threshold, is dealt again
+with its sets, and verified by its task, which gives only links that join components.
 
 Equal sets are one class from the start (copies are not compared). Defined results: null and
 empty texts have the empty set and link with nothing; a text of fewer words than k has one
@@ -47,6 +49,8 @@ FAN = 16
 #: Points of a tree in the first two rounds, and of a block in the last.
 BLOCK = 512
 BUCKET = 2048
+#: Shingles (8 bytes each) of a tree whose pairs are verified where it is.
+HELD = 4 << 20
 LEAF = 48
 #: Ids that are broadcast to pick rows at the scan; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -259,9 +263,8 @@ def _if_few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, ws: Workspace, name: str) -> DataFrame:
-    """The pairs of nodes whose sets are similar enough."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets_of(need: DataFrame, docs: DataFrame, classes: DataFrame, k: int, ws: Workspace, name: str) -> DataFrame:
+    """(node, shingles) of the nodes asked for, written as {name}-sets."""
     ids = ws.write(classes.join(need, "node", "left_semi").select("doc_id").distinct(), f"{name}-ids")
 
     def run(batches):
@@ -275,7 +278,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
 
     chosen = docs.select(F.col("doc_id").cast("long"), "text").join(_if_few(ids), "doc_id", "left_semi")
     sets = chosen.mapInArrow(run, "doc_id long, node long, shingles binary").join(classes, ["doc_id", "node"], "left_semi").select("node", "shingles")
-    sets = ws.write(sets.dropDuplicates(["node"]), f"{name}-sets")
+    return ws.write(sets.dropDuplicates(["node"]), f"{name}-sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, ws: Workspace, name: str) -> DataFrame:
+    """The pairs of nodes whose sets are similar enough."""
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets_of(need, docs, classes, k, ws, name)
 
     def check(batches):
         for batch in batches:
@@ -296,20 +305,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num
 
 
 def _bucket_pairs(rows: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) from trees over the points of each (key, block, block); nearest: of each point only the pair with the highest bound in all its trees."""
-    def tree(nodes, sizes, roots, blocks, points, i, j):
+    """Pairs (a, b, share) from trees over the points of each (key, block, block); nearest: of each point only the pair with the highest bound in all its trees. Else a tree of more pairs than points gives one row instead: its key, its blocks as one number, and -1."""
+    def tree(nodes, sizes, roots, blocks, points, key, i, j):
         """Arrays (a, b, share)."""
         nodes, sizes, roots, blocks = np.array(nodes), np.array(sizes), np.array(roots), np.array(blocks)
         if i != j and (blocks == blocks[0]).all():
             return
         group = np.unique(roots, return_inverse=True)[1]
         best, partner = np.zeros(len(nodes)), np.full(len(nodes), -1)
+        every, n = [], 0
         for x, y, share in tree_pairs(sizes, group, points, num, den):
             if i != j:
                 keep = blocks[x] != blocks[y]
                 x, y, share = x[keep], y[keep], share[keep]
             if not nearest:
-                yield np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y]), share
+                every.append((np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y]), share))
+                n += len(x)
+                if n > len(nodes):
+                    yield np.array([key]), np.array([i << 32 | j]), np.array([-1.0])
+                    return
                 continue
             for p, q in ((x, y), (y, x)):
                 order = np.lexsort((nodes[q], -share, p))
@@ -319,6 +333,7 @@ def _bucket_pairs(rows: DataFrame, num: int, den: int, nearest: bool) -> DataFra
                 p, q, r = p[first], q[first], r[first]
                 up = r > best[p]
                 best[p[up]], partner[p[up]] = r[up], q[up]
+        yield from every
         x = np.flatnonzero(partner >= 0)
         if len(x):
             yield nodes[x], nodes[partner[x]], best[x]
@@ -328,7 +343,7 @@ def _bucket_pairs(rows: DataFrame, num: int, den: int, nearest: bool) -> DataFra
 
         def flush():
             if held and len(held[0]) > 1:
-                for a, b, share in tree(*held, at[1], at[2]):
+                for a, b, share in tree(*held, *at):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(share)], names=["a", "b", "share"])
 
         for batch in batches:
@@ -342,9 +357,72 @@ def _bucket_pairs(rows: DataFrame, num: int, den: int, nearest: bool) -> DataFra
 
     found = rows.select("key", "i", "j", "block", "node", "n", "root", "point").mapInArrow(run, "a long, b long, share double")
     if nearest:
-        found = found.groupBy("a").agg(F.max(F.struct("share", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.select("a", "b").distinct()
+        found = found.groupBy("a").agg(F.max(F.struct("share", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.share").alias("share"))
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "share")
+    return found
+
+
+def _forest(nodes, sizes, roots, blocks, subs, points, sets, apart: tuple[bool, bool], num: int, den: int):
+    """Pairs of rows whose links join the components of a tree's sets, one for each two that become one: fewer than there are rows. apart: rows of one block, or of one sub-block, are left to other trees."""
+    label = np.unique(roots, return_inverse=True)[1]
+    offs = np.append(0, np.cumsum([len(s) for s in sets]))
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    number = [number[a:b] for a, b in zip(offs[:-1], offs[1:])]
+    mine = np.zeros(offs[-1], bool)
+    for x, y, _ in tree_pairs(sizes, label.copy(), points, num, den):
+        keep = label[x] != label[y]
+        for these, asked in zip((blocks, subs), apart):
+            if asked:
+                keep &= these[x] != these[y]
+        x, y = x[keep], y[keep]
+        for u in np.unique(x):
+            others = y[x == u]
+            others = others[label[others] != label[u]]
+            if not len(others):
+                continue
+            mine[number[u]] = True
+            both = np.array([np.count_nonzero(mine[number[v]]) for v in others.tolist()])
+            mine[number[u]] = False
+            for v in others[den * both >= num * (sizes[u] + sizes[others] - both)].tolist():
+                if label[v] != label[u]:
+                    label[label == label[v]] = label[u]
+                    yield nodes[u], nodes[v]
+
+
+def _links_within(rows: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, ws: Workspace) -> DataFrame:
+    """Links (a, b) that join the components in trees of many pairs, verified where the tree is, so that pairs are not made rows. Trees over HELD shingles are dealt in sub-blocks."""
+    of = ["key", "i", "j"]
+    rows = ws.write(rows, "dense-rows")
+    sets = _sets_of(rows.select("node").distinct(), docs, classes, k, ws, "dense")
+    parts = rows.groupBy(*of).agg(F.ceil(F.sum("n") / HELD).cast("int").alias("ns"))
+    dealt = rows.join(parts, of).withColumn("sub", F.pmod(F.xxhash64(F.lit("sub"), "node"), F.col("ns")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
+    dealt = dealt.withColumn("p", F.least("sub", "other")).withColumn("q", F.greatest("sub", "other")).join(sets, "node")
+    of += ["p", "q"]
+    dealt = dealt.select(*of, "node", "n", "root", "block", "sub", "point", "shingles").repartition(parts_of(rows.sparkSession), *of).sortWithinPartitions(*of)
+
+    def run(batches):
+        at, held = None, []
+
+        def flush():
+            if len(held) > 1:
+                nodes, sizes, roots, blocks, subs, points, shingles = zip(*held)
+                pairs = list(_forest(*map(np.array, (nodes, sizes, roots, blocks, subs)), [np.frombuffer(p, np.uint8) for p in points], [np.frombuffer(s, np.uint64) for s in shingles], (at[1] != at[2], at[3] != at[4]), num, den))
+                if pairs:
+                    a, b = np.array(pairs).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != row[:5]:
+                    yield from flush()
+                    at, held = row[:5], []
+                held.append(row[5:])
+        yield from flush()
+
+    out = ws.write(dealt.mapInArrow(run, "a long, b long").distinct(), "dense-links")
+    ws.drop("dense-rows")
+    ws.drop("dense-sets")
+    return out
 
 
 def _distinct_buckets(shared: DataFrame) -> DataFrame:
@@ -354,8 +432,8 @@ def _distinct_buckets(shared: DataFrame) -> DataFrame:
     return shared.join(kept, "key", "left_semi")
 
 
-def _dealt(shared: DataFrame, points: DataFrame, roots: DataFrame | None, step: str, ws: Workspace) -> DataFrame:
-    """The rows of the trees of a round: those of buckets whose sets are not all in one component yet, by (key, i, j)."""
+def _open(shared: DataFrame, roots: DataFrame | None, step: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The rows of a round with their components, and the buckets whose sets are not all in one yet, with their numbers of blocks."""
     placed = shared.withColumn("root", F.col("node"))
     if roots is not None:
         placed = ws.write(shared.join(_if_few(roots), "node", "left").withColumn("root", F.coalesce("root", "node")), f"{step}-placed")
@@ -363,13 +441,18 @@ def _dealt(shared: DataFrame, points: DataFrame, roots: DataFrame | None, step:
         placed = placed.groupBy("key", "root").agg(F.min(F.struct("node", "n")).alias("m")).select("key", "root", "m.node", "m.n")
     span = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1")
     open_ = ws.write(span.select("key", F.ceil(F.col("size") / (BUCKET if step == "all" else BLOCK)).cast("int").alias("nb")), f"{step}-open")
+    return placed, open_
+
+
+def _dealt(placed: DataFrame, open_: DataFrame, points: DataFrame, step: str) -> DataFrame:
+    """The rows of the trees of a round, by (key, i, j)."""
     rows = placed.join(_if_few(open_), "key").join(points.select("node", "point"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     if step == "all":
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     else:
         rows = rows.withColumn("other", F.col("block"))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "point")
-    return rows.repartition(parts_of(shared.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.repartition(parts_of(placed.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -394,15 +477,24 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     ws.drop("company")
     links, tried, roots = None, None, None
     for step in ("within", "among", "all"):
-        pairs = _bucket_pairs(_dealt(shared, points, roots, step, ws), num, den, step != "all")
+        placed, open_ = _open(shared, roots, step, ws)
+        found = _bucket_pairs(_dealt(placed, open_, points, step), num, den, step != "all")
+        if step == "all":
+            found = ws.write(found, "found")
+            dense = ws.write(found.where("share < 0").select(F.col("a").alias("key"), F.shiftright("b", 32).cast("int").alias("i"), F.col("b").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("j")), "dense")
+            if dense.limit(1).count():
+                some = _dealt(placed, open_.join(_if_few(dense.select("key").distinct()), "key", "left_semi"), points, step).join(_if_few(dense), ["key", "i", "j"], "left_semi")
+                links = links.union(_links_within(some, docs, classes, k, num, den, ws))
+            found = found.where("share >= 0")
+        pairs = found.select("a", "b").distinct()
         pairs = ws.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), step)
         for name in ("placed", "open"):
             ws.drop(f"{step}-{name}")
         if links is not None and not pairs.limit(1).count():
             continue
         tried = pairs if tried is None else tried.union(pairs)
-        found = _verified(pairs, docs, classes, k, num, den, ws, step)
-        links = found if links is None else links.union(found)
+        verified = _verified(pairs, docs, classes, k, num, den, ws, step)
+        links = verified if links is None else links.union(verified)
         if step != "all":
             roots = ws.write(components(links, ws, step), f"{step}-roots")
     ws.drop("shared")

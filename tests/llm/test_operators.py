@@ -77,6 +77,48 @@ def test_jaccard_hot_group(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == linked(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("held", [4 << 20, 10_000])
+def test_jaccard_pairs_of_a_hot_group_are_not_made_rows(spark, monkeypatch, held):
+    """Texts a little too far from each other to link, and a few that do: what is verified as rows grows with the group, not with its square."""
+    words = [f"w{x}" for x in range(400)]
+    rows = []
+    for i in range(160):
+        for x in range(20, 400, 40):
+            words[x] = f"v{i}x{x}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, t.replace("w399", "end")) for i, t in rows[::20]]
+    counted, before = [], jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *a: counted.append(pairs.count()) or before(pairs, *a))
+    monkeypatch.setattr(jaccard_join, "HELD", held, raising=False)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 82, 100)
+    want = linked(rows, 4, 82, 100)
+    assert len({c for _, _, c in want}) == 160
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert sum(counted) < 6 * len(rows)
+
+
+@pytest.mark.parametrize("apart", [(False, False), (True, False), (False, True)])
+def test_forest_joins_what_links_join(apart):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.04, rng.integers(0, 2**63, 60), base).astype(np.uint64)) for _ in range(150)]
+    blocks, subs, roots = rng.integers(0, 2, 150), rng.integers(0, 2, 150), np.arange(150) // 2 * 2
+    points, sizes = [jaccard_join.point(s) for s in sets], np.array([len(s) for s in sets])
+    got = list(jaccard_join._forest(np.arange(150), sizes, roots, blocks, subs, points, sets, apart, 88, 100))
+
+    def joined(edges):
+        root = roots.copy()
+        for a, b in edges:
+            root[root == root[a]] = root[b]
+        return {frozenset(np.flatnonzero(root == r).tolist()) for r in set(root.tolist())}
+
+    fits = lambda a, b: not (apart[0] and blocks[a] == blocks[b] or apart[1] and subs[a] == subs[b])
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    links = {(a, b) for a in range(150) for b in range(150) if a != b and fits(a, b) and 100 * both(a, b) >= 88 * (sizes[a] + sizes[b] - both(a, b))}
+    assert set(got) <= links and len(got) < 75
+    assert joined(got) == joined(links) and 1 < len(joined(links)) < 60
+
+
 def test_jaccard_empty(no_docs):
     assert jaccard_join.jaccard_components(no_docs).count() == 0
 
