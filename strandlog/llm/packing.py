@@ -50,6 +50,8 @@ LEFT, BELOW, PLACED = 0, 1, 2
 #: Runs that one task may end the packing with, and runs that a task of a sweep gets at least.
 TAIL, RUNS_A_TASK = 2_000, 4_000
 MAX_STEPS = 400
+#: Bytes of rows that are encoded together; the batch of ids that the JVM takes over is about as large.
+GATHERED = 1 << 21
 
 
 def cut_pieces(docs: DataFrame, capacity: int, path: str, end_id: int) -> DataFrame:
@@ -58,7 +60,7 @@ def cut_pieces(docs: DataFrame, capacity: int, path: str, end_id: int) -> DataFr
 
     def run(batches):
         enc, part, seen = tokens.encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in tokens.gathered(batches):
+        for batch in tokens.gathered(batches, GATHERED):
             ids, first = enc.encode_ended(batch.column(1), end_id)
             n = np.diff(first)
             pieces = (n - 1) // capacity + 1

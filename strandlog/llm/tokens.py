@@ -4,7 +4,7 @@ A text is cut only where the pre-tokenizer of a byte-level BPE always cuts: befo
 follows something else, before marks that follow a letter or digit, and around a line feed that
 stands alone. The parts' ids one after another then are the text's ids. The cuts of a batch are
 found in numpy and its parts numbered in Arrow, without copying; each distinct part is encoded once
-by the library and kept in a bounded table, from which the ids of the batch are gathered.
+by the library and kept in a table bounded in parts and in bytes, from which the ids of the batch are gathered.
 
 The library's own handling of added tokens holds: a string such as ``<|endoftext|>`` inside a text
 is that token. Texts that hold one, and texts with white space beyond ASCII, go to the library whole.
@@ -24,8 +24,8 @@ from strandlog.llm.common import text_slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Parts kept by an encoder: about 150 MB; the table starts anew beyond that.
-KEPT_PARTS = 1_000_000
+#: Parts kept by an encoder, and bytes (a part's characters, its ids and about 150 for its objects); the table starts anew beyond either.
+KEPT_PARTS, KEPT_BYTES = 1_000_000, 40 << 20
 #: Words of Latin letters only: one pre-token each, so the model can be asked without the rest of the pipeline.
 _LATIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 #: Bytes of text whose parts are numbered together.
@@ -96,8 +96,13 @@ class Encoder:
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
+        self.chars = 0  # of all parts kept
         self.ids, self.begin = array("I"), array("q", [0, 0])  # place i: ids[begin[i] : begin[i + 1]]; place 0 has none
 
+    def held(self) -> int:
+        """Bytes of the table, about."""
+        return 150 * len(self.places) + self.chars + 4 * len(self.ids)
+
     def _place(self, ids) -> int:
         self.ids.extend(ids)
         self.begin.append(len(self.ids))
@@ -118,6 +123,7 @@ class Encoder:
         for p in others:
             ids += self._ask(p)
             ends.append(at + len(ids))
+        self.chars += sum(map(len, parts))
         self.places.update(zip(latin + others, range(len(self.begin) - 1, len(self.begin) - 1 + len(parts))))
         self.ids.extend(ids)
         self.begin.extend(ends)
@@ -137,7 +143,7 @@ class Encoder:
 
     def _slice(self, texts: pa.Array, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts, and where each text's ids end."""
-        if len(self.places) > self.kept:
+        if len(self.places) > self.kept or self.held() > KEPT_BYTES:
             self._forget()
         whole = np.zeros(len(texts), bool)
         for s in self.added:

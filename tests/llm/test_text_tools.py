@@ -87,6 +87,16 @@ def test_encoder_table_is_bounded():
     assert len(enc.places) <= 90
 
 
+def test_encoder_table_is_bounded_in_bytes(monkeypatch):
+    """Few parts, but long ones."""
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 100_000, raising=False)
+    enc = tokens.Encoder(tokens.default_path())
+    for i in range(8):
+        text = " ".join(f"{i}x{j}" * 1_000 for j in range(10))
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, enc.places)) + 4 * len(enc.ids) < 200_000
+
+
 def best_fit(lengths, capacity):
     """One item after another, longest first: the smallest gap that holds it."""
     gaps = []
