@@ -52,6 +52,8 @@ TAIL, RUNS_A_TASK = 2_000, 4_000
 MAX_STEPS = 400
 #: Bytes of rows that are encoded together; the batch of ids that the JVM takes over is about as large.
 GATHERED = 1 << 21
+#: Bytes of a worker's table of encoded parts: workers also hold what the stages before have left.
+KEPT_BYTES = 40 << 20
 
 
 def cut_pieces(docs: DataFrame, capacity: int, path: str, end_id: int) -> DataFrame:
@@ -59,7 +61,7 @@ def cut_pieces(docs: DataFrame, capacity: int, path: str, end_id: int) -> DataFr
     small_batches(docs.sparkSession)
 
     def run(batches):
-        enc, part, seen = tokens.encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        enc, part, seen = tokens.encoder(path, KEPT_BYTES), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in tokens.gathered(batches, GATHERED):
             ids, first = enc.encode_ended(batch.column(1), end_id)
             n = np.diff(first)

@@ -25,7 +25,7 @@ from strandlog.llm.common import text_slices
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Parts kept by an encoder, and bytes (a part's characters, its ids and about 150 for its objects); the table starts anew beyond either.
-KEPT_PARTS, KEPT_BYTES = 1_000_000, 40 << 20
+KEPT_PARTS, KEPT_BYTES = 1_000_000, 160 << 20
 #: Words of Latin letters only: one pre-token each, so the model can be asked without the rest of the pipeline.
 _LATIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 #: Bytes of text whose parts are numbered together.
@@ -86,12 +86,12 @@ def wide_spaces(buf: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str, kept: int = KEPT_PARTS):
+    def __init__(self, path: str, kept: int = KEPT_PARTS, kept_bytes: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept, self.letters = kept, _byte_letters()
+        self.kept, self.kept_bytes, self.letters = kept, kept_bytes or KEPT_BYTES, _byte_letters()
         self._forget()
 
     def _forget(self) -> None:
@@ -143,7 +143,7 @@ class Encoder:
 
     def _slice(self, texts: pa.Array, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts, and where each text's ids end."""
-        if len(self.places) > self.kept or self.held() > KEPT_BYTES:
+        if len(self.places) > self.kept or self.held() > self.kept_bytes:
             self._forget()
         whole = np.zeros(len(texts), bool)
         for s in self.added:
@@ -188,14 +188,14 @@ class Encoder:
         return np.insert(ids, first[1:], np.uint32(end_id)), first + np.arange(len(first))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, kept_bytes: int | None = None) -> Encoder:
+    """One encoder for each worker process, file and size of table (else KEPT_BYTES)."""
+    if (path, kept_bytes) not in _encoders:
+        _encoders[path, kept_bytes] = Encoder(path, kept_bytes=kept_bytes)
+    return _encoders[path, kept_bytes]
 
 
 def gathered(batches, size: int = 1 << 22):
